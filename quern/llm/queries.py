@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from . import media
+from . import linededup, media, mixing, urlfilter
 
 QUERIES = {
+    "op3_line_dedup": linededup.op3_line_dedup,
     "op8_media_columns": media.op8_media_columns,
+    "op9_mixing": mixing.op9_mixing,
+    "op10_url_filter": urlfilter.op10_url_filter,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op3_line_dedup": linededup.OP3_SQL,
+    "op9_mixing": mixing.OP9_SQL,
+    "op10_url_filter": urlfilter.OP10_SQL,
+}
