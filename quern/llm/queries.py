@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import linededup, media, mixing, urlfilter
+from . import linededup, media, mixing, simhash, urlfilter
 
 QUERIES = {
     "op3_line_dedup": linededup.op3_line_dedup,
+    "op6_simhash": simhash.op6_simhash,
     "op8_media_columns": media.op8_media_columns,
     "op9_mixing": mixing.op9_mixing,
     "op10_url_filter": urlfilter.op10_url_filter,
