@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import linededup, media, mixing, simhash, urlfilter
+from . import linededup, media, mixing, packing, simhash, urlfilter
 
 QUERIES = {
     "op3_line_dedup": linededup.op3_line_dedup,
+    "op5_packing": packing.op5_packing,
     "op6_simhash": simhash.op6_simhash,
     "op8_media_columns": media.op8_media_columns,
     "op9_mixing": mixing.op9_mixing,
