@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import linededup, media, mixing, packing, simhash, urlfilter
+from . import langid, linededup, media, mixing, packing, quality, simhash, urlfilter
 
 QUERIES = {
+    "op2_language_id": langid.op2_language_id,
     "op3_line_dedup": linededup.op3_line_dedup,
+    "op4_quality": quality.op4_quality,
     "op5_packing": packing.op5_packing,
     "op6_simhash": simhash.op6_simhash,
     "op8_media_columns": media.op8_media_columns,
