@@ -196,7 +196,7 @@ def pack_tasks(df: DataFrame) -> int:
     """Packing tasks for the pieces of ``df``, from the size of its files as the planner knows it.
 
     Fewer tasks leave fewer part-filled last bins; each still packs by streaming."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(1, min(100_000, -(-size // INPUT_A_TASK)))
 
 
