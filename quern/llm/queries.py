@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import langid, linededup, media, mixing, mtree, packing, quality, simhash, urlfilter
+from . import langid, licenses, linededup, media, mixing, mtree, packing, quality, simhash, urlfilter
 
 QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
     "op2_language_id": langid.op2_language_id,
     "op3_line_dedup": linededup.op3_line_dedup,
     "op4_quality": quality.op4_quality,
