@@ -17,6 +17,8 @@ from ._shared import WORD, documents, write_shared
 RANGE_DIGITS = 3
 #: A document is taken at most so many times.
 MAX_EPOCHS = 3
+#: Sources up to which their cuts, a row of some 100 bytes each, are broadcast.
+BROADCAST_SOURCES = 20_000
 
 
 def word_count(text: Column) -> Column:
@@ -45,6 +47,53 @@ def source_targets(totals: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame
     return levels.withColumn("common", level.over(every)["level"]).select("no_source", "source", "source_size", F.least("cap", F.coalesce(F.col("common") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
+def _keyed(df: DataFrame, id_col: str, text_col: str, source_col: str, keep: list[Column]) -> DataFrame:
+    """``keep`` with ``no_source, source_key, size, key, cut`` of every row."""
+    return df.select(
+        *keep,
+        F.col(source_col).isNull().alias("no_source"),
+        F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source_key"),
+        word_count(F.col(text_col).cast("string")).alias("size"),
+        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("key"),
+    ).withColumn("cut", F.substring("key", 1, RANGE_DIGITS))
+
+
+def mixture_cuts(narrow: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """For each source of ``narrow(no_source, source_key, size, key, cut)`` what its documents take.
+
+    ``source_size, target``, the whole ``epochs``, and the ``edge`` key: documents of smaller
+    keys are taken once more, those of the edge share ``edge_take`` of ``edge_size`` words, later
+    ones are not.  Ranges are summed with a map-side part; only the one range of each
+    source in which its budget ends is sorted.
+    """
+    source = ["no_source", "source_key"]
+    ranges = narrow.groupBy(*source, "cut").agg(F.sum("size").alias("range_size"))
+    targets = source_targets(ranges.groupBy("no_source", F.col("source_key").alias("source")).agg(F.sum("range_size").alias("source_size")), max_epochs)
+    budgets = (
+        targets.withColumn("budget", F.floor("target").cast("long"))
+        .withColumn("epochs", F.expr("budget div greatest(source_size, 1)").cast("long"))
+        .select("no_source", F.col("source").alias("source_key"), "source_size", "target", "epochs", (F.col("budget") - F.col("epochs") * F.col("source_size")).alias("rest"))
+    )
+    budgets, _ = write_shared(budgets, "budgets")  # a row a source, used twice
+    earlier = Window.partitionBy(*source).orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ranges.withColumn("start", F.coalesce(F.sum("range_size").over(earlier), F.lit(0))).join(budgets, source).where("start <= rest AND rest < start + range_size").select(*source, "cut", "start", "rest")
+    units = narrow.join(ends, [*source, "cut"]).groupBy(*source, "key").agg(F.sum("size").alias("edge_size"), F.first("start").alias("start"), F.first("rest").alias("rest"))
+    before = Window.partitionBy(*source).orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    edge = units.withColumn("ahead", F.col("start") + F.coalesce(F.sum("edge_size").over(before), F.lit(0))).where("ahead <= rest AND rest < ahead + edge_size").select(*source, F.col("key").alias("edge"), "edge_size", (F.col("rest") - F.col("ahead")).alias("edge_take"))
+    return budgets.drop("rest").join(edge, source, "left")
+
+
+def _with_cuts(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``rows`` with their source's cut, the whole ``copies`` each takes, and the words ``more`` of a last, partial one."""
+    cuts, _ = write_shared(cuts, "cuts")
+    if cuts.count() <= BROADCAST_SOURCES:  # a row of some 100 bytes for each source
+        cuts = F.broadcast(cuts)
+    placed = rows.join(cuts, ["no_source", "source_key"])
+    copies = F.col("epochs") + F.when(F.col("key") < F.col("edge"), 1).otherwise(0)
+    more = F.when(F.col("key") == F.col("edge"), F.least("size", F.expr("cast(edge_take * cast(size as decimal(20, 0)) div greatest(edge_size, 1) as bigint)"))).otherwise(F.lit(0))
+    return placed.withColumns({"copies": copies, "more": more})
+
+
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """``id_col, size, source_size, target, taken`` for every row of ``df``.
 
@@ -53,26 +102,43 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     order) that fills the budget, floor(target), to the word.
 
     Null or empty texts have size 0 and are taken 0 times; a null source is a source of its
-    own; an empty table gives an empty one.  Rows that repeat an id are documents of their
-    own; equal keys are ordered by id and size, so reruns agree.  Other columns are not read.
+    own; an empty table gives an empty one.  Rows that repeat an id share a key, and what the
+    key takes by size, rounded down, so reruns agree.  Other columns are not read.
     """
-    sized = df.select(F.col(id_col).alias("id"), F.col(source_col).isNull().alias("no_source"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), word_count(F.col(text_col).cast("string")).alias("size"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("key"))
-    # A narrow table read three times: written once, so that texts are read once.
-    narrow, _ = write_shared(sized.withColumn("cut", F.substring("key", 1, RANGE_DIGITS)), "mix")
-    ranges = narrow.groupBy("no_source", "source", "cut").agg(F.sum("size").alias("range_size"))
-    targets = source_targets(ranges.groupBy("no_source", "source").agg(F.sum("range_size").alias("source_size")), max_epochs)
-    earlier = Window.partitionBy("no_source", "source").orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranges.withColumn("start", F.coalesce(F.sum("range_size").over(earlier), F.lit(0))).drop("range_size").join(targets, ["no_source", "source"])
-    within = Window.partitionBy("no_source", "source", "cut").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = narrow.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0))).join(starts, ["no_source", "source", "cut"])
-    budget = F.floor("target").cast("long")
-    epochs = F.expr("budget div greatest(source_size, 1)").cast("long")
-    rest = F.col("budget") - F.col("epochs") * F.col("source_size") - F.col("start") - F.col("ahead")
-    return (
-        placed.withColumn("budget", budget)
-        .withColumn("epochs", epochs)
-        .select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("epochs") + F.greatest(F.lit(0), F.least(rest, F.col("size")))).alias("taken"))
-    )
+    # A narrow table, written once: texts are read once.
+    narrow, _ = write_shared(_keyed(df, id_col, text_col, source_col, [F.col(id_col).alias("id")]), "mix")
+    placed = _with_cuts(narrow, mixture_cuts(narrow, max_epochs))
+    return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.col("copies") + F.col("more")).alias("taken"))
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its ``n``-th word."""
+    parts = F.split(F.translate(text, "\t\n\x0b\f\r", "     "), " ", -1)
+
+    def add(a, x):
+        done = F.struct((a["words"] + F.when(x != "", 1).otherwise(0)).cast("long").alias("words"), (a["chars"] + F.char_length(x) + 1).cast("long").alias("chars"))
+        return F.when(a["words"] >= n, a).otherwise(done)
+
+    walked = F.aggregate(parts, F.struct(F.lit(0).cast("long").alias("words"), F.lit(0).cast("long").alias("chars")), add)
+    return text.substr(F.lit(1), (walked["chars"] - 1).cast("int"))
+
+
+def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """The mix itself, with the columns of ``df``: a row for every whole copy of a document that it
+    takes, and one with the first words of a document that fills a budget.  Documents of size 0
+    go.  ``n_chars``, where there is one, follows the text that is cut.  Texts are not shuffled.
+    """
+    narrow, _ = write_shared(_keyed(df, id_col, text_col, source_col, []), "mix")
+    rows = _keyed(df, id_col, text_col, source_col, [F.struct(*[F.col(c) for c in df.columns]).alias("row")])
+    placed = _with_cuts(rows, mixture_cuts(narrow, max_epochs)).where("size > 0 AND (copies > 0 OR more > 0)")
+    whole = F.array_repeat(F.lit(0).cast("long"), F.col("copies").cast("int"))
+    every = placed.select("row", F.explode(F.when(F.col("more") > 0, F.array_append(whole, F.col("more"))).otherwise(whole)).alias("words"))
+    cut = F.when(F.col("words") > 0, first_words(F.col("row")[text_col].cast("string"), F.col("words"))).otherwise(F.col("row")[text_col])
+    made = every.select("row", "words", cut.alias("cut_text"))
+    changed = {text_col: F.col("cut_text")}
+    if "n_chars" in df.columns:
+        changed["n_chars"] = F.when(F.col("words") > 0, F.char_length("cut_text").cast(df.schema["n_chars"].dataType)).otherwise(F.col("row")["n_chars"])
+    return made.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in df.columns])
 
 
 def op9_mixing(spark, sf_dir) -> DataFrame:

@@ -114,6 +114,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     return [(np.frombuffer(b, "<i4"), np.frombuffer(v, "<f4"), y) for _, y, b, v in found]
 
 
+def _probabilities(weights: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    doc, bucket, value = features(texts)
+    return 1 / (1 + np.exp(-(np.bincount(doc, value * weights[bucket], minlength=len(texts)) + float(weights[-1]))))
+
+
 def score(df: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, score`` for every row: the probability that the label is 1.
 
@@ -130,9 +135,7 @@ def score(df: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 for ids, texts in tokens.chunks(part.column(0).to_pylist(), utf8(part.column(1))):
-                    doc, bucket, value = features(texts)
-                    logit = np.bincount(doc, value * w[bucket], minlength=len(ids)) + float(w[-1])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, schema.field(0).type), pa.array(1 / (1 + np.exp(-logit)))], schema=schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, schema.field(0).type), pa.array(_probabilities(w, texts))], schema=schema)
 
     return df.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, out)
 
@@ -146,5 +149,25 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return score(docs, weights, id_col, text_col).select(id_col, (crc32_of_id(id_col) % 4 == 2).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose score is ``threshold`` or more.
+
+    Without any usable label nothing is known against a document, and every row stays.
+    """
+    rows = training_rows(docs, labels, id_col, text_col)
+    if not rows:
+        return docs
+    shared, at = docs.sparkSession.sparkContext.broadcast(fit(rows)), docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            for start in range(0, b.num_rows, 512):
+                part = b.slice(start, 512)
+                good = [_probabilities(shared.value, texts) >= threshold for _, texts in tokens.chunks(range(part.num_rows), utf8(part.column(at)))]
+                yield part.filter(pa.array(np.concatenate(good)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_quality(spark, sf_dir) -> DataFrame:
     return classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))

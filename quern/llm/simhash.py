@@ -142,5 +142,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return fps.join(classes, "fp", "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``df``, with all columns, of each component's smallest id.
+
+    Rows that repeat that id are one document: the least of them stays.  Rows without an id
+    cannot be referred to; they take no part and all stay.  Texts move once, by id.
+    """
+    named = df.where(F.col(id_col).isNotNull())
+    kept = near_duplicates(named, id_col, text_col, shingle, radius).select(F.col("component_id").alias("kept_id")).distinct()
+    others = [c for c in df.columns if c != id_col]
+    stay = named.join(kept, F.col(id_col) == F.col("kept_id"), "left_semi")
+    # Partitioned by id already: no further shuffle.
+    one = stay.groupBy(id_col).agg(F.min(F.struct(*others)).alias("row")) if others else stay.distinct()
+    return one.select(*[F.col(c) if c == id_col or not others else F.col("row")[c].alias(c) for c in df.columns]).unionByName(df.where(F.col(id_col).isNull()))
+
+
 def op6_simhash(spark, sf_dir) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
