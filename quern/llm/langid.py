@@ -119,11 +119,15 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     each the first window and one at a hashed place.  None if there is no such row.
     """
     usable = df.where(F.col(lang_col).isNotNull() & (crc32_of_id(id_col) % 5 != 0)).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"))
-    classes = sorted(r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect())
-    if not classes:
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
+    if not counts:
         return None
-    # The filter on row_number limits each task's rows of a language before the shuffle.
-    ranked = usable.where(F.col("lang").isin(classes)).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")))
+    classes = sorted(counts)
+    # By the counts, a share of each language's ids by hash that holds twice the rows wanted:
+    # what is ranked doesn't grow with the table.
+    share = F.element_at(F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, min(1.0, 2 * most / n))]), F.col("lang"))
+    likely = usable.where(F.col("lang").isin(classes)).where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1_000_000_007)) < share * 1_000_000_007)
+    ranked = likely.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")))
     sample = ranked.where(F.col("rank") <= most).select("id", "lang")
     # At most ``most`` times ``languages`` rows of an id and a language.
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).where(F.octet_length("text") > 0).join(F.broadcast(sample), "id")
