@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._shared import ASCII_SPACE, ascii_lower, documents, record_batches, utf8
+from ._shared import ASCII_SPACE, ascii_lower, documents, record_batches, utf8, write_shared
 
 MIN_CHARS, MIN_DOCUMENTS = 20, 3
 
@@ -37,7 +37,9 @@ def _shared_lines(df: DataFrame, id_col: str, text_col: str, min_chars: int, min
     # a third of all documents hold reaches no task as more than one row a map task.
     pairs = lines.groupBy("h1", "h2", "id").agg(F.lit(1).alias("one"))
     shared = pairs.groupBy("h1", "h2").agg(F.count("id").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_documents).select("h1", "h2", "keeper")
-    # Each hash is once in ``shared``: the join gives at most one row a line; AQE splits hot hashes.
+    # Written, so that the join reads both sides through exchanges of its own: AQE then splits a
+    # hot hash, or broadcasts a small list.  Each hash is once in ``shared``: at most one row a line.
+    shared, _ = write_shared(shared, "lines")
     drops = lines.join(shared, ["h1", "h2"]).where(F.col("id") != F.col("keeper"))
     return drops.groupBy("id").agg(F.collect_list("pos").alias("drops"))
 
