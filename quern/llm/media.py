@@ -12,7 +12,6 @@ import zlib
 from functools import cache
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -160,56 +159,67 @@ def payload_of(text: bytes | None) -> bytes:
     return data + bytes(WIDTH * max(1, -(-len(data) // WIDTH)) - len(data))
 
 
-def encode_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", level: int = 1) -> DataFrame:
-    """``id_col``, ``n_bytes`` (without padding) and the binary column ``media`` for every row.
+def _described(blob: bytes) -> tuple:
+    samples = decode_png(blob)
+    data = samples.tobytes()
+    return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-WIDTH:]), len(blob), hashlib.sha256(blob).hexdigest(), cosine_hash(samples)
+
+
+_FEATURES = [
+    T.StructField("payload_bytes", T.LongType()),
+    T.StructField("payload_sha256", T.StringType()),
+    T.StructField("tail_crc32", T.LongType()),
+    T.StructField("media_bytes", T.LongType()),
+    T.StructField("media_sha256", T.StringType()),
+    T.StructField("feature", T.StringType()),
+]
+#: Rows of a batch that are turned into Python objects at a time.
+ROWS = 256
+
+
+def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", level: int = 1) -> DataFrame:
+    """``id_col``, ``n_bytes`` (without padding), the binary column ``media``, and what is read back from it.
 
     Null and empty texts become 64 zero bytes.  Rows are independent: repeated rows
     give repeated results, an empty table gives an empty one, other columns are not
-    read.  No shuffle; a task holds one Arrow batch and one picture at a time.
+    read.  No shuffle; a task holds one Arrow batch and a few MB of pictures at a time.
     """
-    out = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
+    out = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType()), *_FEATURES])
     schema = to_arrow_schema(out)
 
+    def rows(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                for i, t in zip(part.column(0).to_pylist(), utf8(part.column(1))):
+                    blob = encode_png(payload_of(t), level)
+                    yield i, len(t or b""), blob, *_described(blob)
+
     def run(batches):
-        rows = ((i, len(t or b""), encode_png(payload_of(t), level)) for b in batches for i, t in zip(b.column(0).to_pylist(), utf8(b.column(1))))
-        yield from record_batches(rows, schema, most=1024, weight=lambda r: len(r[2]))
+        yield from record_batches(rows(batches), schema, most=ROWS, weight=lambda r: len(r[2]), most_weight=4 << 20)
 
     return df.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, out)
 
 
-def media_features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Decodes ``media`` with all checksum tests and describes what was read back.
+def read_media(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
+    """``id_col`` and the features of a stored binary column of pictures, with all checksum tests.
 
-    ``n_bytes`` is kept.  A damaged picture ends the job with a ValueError, as a stored
-    payload that cannot be read back must not pass silently; a null one gives nulls.
+    A damaged picture ends the job with a ValueError, as a stored payload that cannot be
+    read back must not pass silently; a null one gives nulls.
     """
-    out = T.StructType(
-        [
-            T.StructField(id_col, media.schema[id_col].dataType),
-            T.StructField("n_bytes", T.LongType()),
-            T.StructField("payload_bytes", T.LongType()),
-            T.StructField("payload_sha256", T.StringType()),
-            T.StructField("tail_crc32", T.LongType()),
-            T.StructField("media_bytes", T.LongType()),
-            T.StructField("media_sha256", T.StringType()),
-            T.StructField("feature", T.StringType()),
-        ]
-    )
+    out = T.StructType([T.StructField(id_col, media.schema[id_col].dataType), *_FEATURES])
     schema = to_arrow_schema(out)
 
-    def row(i, n, blob):
-        if blob is None:
-            return (i, n, *[None] * 6)
-        samples = decode_png(blob)
-        data = samples.tobytes()
-        return i, n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-WIDTH:]), len(blob), hashlib.sha256(blob).hexdigest(), cosine_hash(samples)
-
-    def run(batches):
-        rows = (row(i, n, blob) for b in batches for i, n, blob in zip(*(c.to_pylist() for c in b.columns)))
-        yield from record_batches(rows, schema)
+    def rows(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                for i, blob in zip(*(c.to_pylist() for c in part.columns)):
+                    yield i, *((None,) * len(_FEATURES) if blob is None else _described(blob))
 
-    return media.select(id_col, "n_bytes", "media").mapInArrow(run, out)
+    return media.select(F.col(id_col), F.col(media_col).alias("media")).mapInArrow(lambda batches: record_batches(rows(batches), schema), out)
 
 
 def op8_media_columns(spark, sf_dir) -> DataFrame:
-    return media_features(encode_column(documents(spark, sf_dir)))
+    """The digests; the pictures themselves are left out of the result."""
+    return media_columns(documents(spark, sf_dir)).drop("media")
