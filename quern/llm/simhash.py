@@ -23,6 +23,8 @@ from .components import component_labels
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Fingerprints a tile holds on average at most.
 TILE_ROWS = 8192
+#: Tiles of a group, and comparisons a task is to make, about (a second or so).
+GROUP_TILES, TASK_PAIRS = 8, 500_000_000
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -86,27 +88,34 @@ def _forest(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> list[tuple
     return links
 
 
-def _tiles(distinct: DataFrame, tile_rows: int) -> DataFrame:
-    """``(pop, part, fps binary, reps array)``: fingerprints by population count, in ``tile_rows`` on average."""
-    sizes = distinct.groupBy(F.bit_count("fp").cast("int").alias("pop")).agg(F.ceil(F.count("*") / tile_rows).cast("long").alias("parts"))
-    # At most 65 rows.
-    dealt = distinct.withColumn("pop", F.bit_count("fp").cast("int")).join(F.broadcast(sizes), "pop").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")))
-    return dealt.groupBy("pop", "part").agg(F.collect_list(F.struct("fp", "rep")).alias("rows")).select("pop", "part", "rows.fp", "rows.rep")
-
-
 def links_within(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
     """``(a, b)``: representatives whose links connect all that lie within ``radius`` of each other.
 
-    ``distinct(fp, rep)`` holds each fingerprint once.  A tile is sent once for each tile
-    population count within the radius; a task compares one pair of tiles at a time and
-    holds those two only.
+    ``distinct(fp, rep)`` holds each fingerprint once.  Tiles of a population count are
+    grouped by ``GROUP_TILES``; a pair of groups, at most ``GROUP_TILES`` squared pairs of tiles,
+    is one key of a join, so no population count meets in one task.  A task compares one
+    pair of tiles at a time.
     """
-    tiles, _ = write_shared(_tiles(distinct, tile_rows), "tiles")
-    left = tiles.select("*", F.explode(F.sequence(F.col("pop"), F.col("pop") + F.lit(radius))).alias("with"))
-    right = tiles.select(F.col("pop").alias("with"), F.col("part").alias("part2"), F.col("fp").alias("fp2"), F.col("rep").alias("rep2"))
-    # A right tile meets the left ones by (pop, its own pop): sent for each pop up to ``radius`` below its own.
-    right = right.select("*", F.explode(F.sequence(F.col("with") - F.lit(radius), F.col("with"))).alias("pop"))
-    pairs = left.join(right, ["pop", "with"]).where("pop < with OR part <= part2")
+    pop = F.bit_count("fp").cast("int")
+    counts = {r["pop"]: r["n"] for r in distinct.groupBy(pop.alias("pop")).agg(F.count("*").alias("n")).collect()}  # at most 65 rows
+    parts = {p: -(-n // tile_rows) for p, n in counts.items()}
+    groups = {p: -(-n // GROUP_TILES) for p, n in parts.items()}
+    of = lambda table, key: F.element_at(F.create_map(*[F.lit(x).cast("int") for kv in (table or {-1: 0}).items() for x in kv]), key)
+    dealt = distinct.withColumn("pop", pop).withColumn("part", F.pmod(F.xxhash64("fp"), of(parts, F.col("pop"))).cast("int"))
+    tiles = dealt.groupBy("pop", "part").agg(F.collect_list(F.struct("fp", "rep")).alias("rows")).select("pop", "part", "rows.fp", "rows.rep")
+    tiles, _ = write_shared(tiles, "tiles")
+    has = lambda c: F.col(c).isin([*counts])
+    once = "pop < with OR g1 <= g2"
+    left = tiles.select("*", F.explode(F.sequence(F.col("pop"), F.col("pop") + F.lit(radius))).alias("with"), F.floor(F.col("part") / GROUP_TILES).cast("int").alias("g1")).where(has("with"))
+    left = left.select("*", F.explode(F.sequence(F.lit(0), of(groups, F.col("with")) - 1)).alias("g2")).where(once)
+    right = tiles.select(F.col("pop").alias("with"), F.col("part").alias("part2"), F.col("fp").alias("fp2"), F.col("rep").alias("rep2"), F.floor(F.col("part") / GROUP_TILES).cast("int").alias("g2"))
+    right = right.select("*", F.explode(F.sequence(F.col("with") - F.lit(radius), F.col("with"))).alias("pop")).where(has("pop"))
+    right = right.select("*", F.explode(F.sequence(F.lit(0), of(groups, F.col("pop")) - 1)).alias("g1")).where(once)
+    keys = ["pop", "with", "g1", "g2"]
+    # As many tasks as the comparisons ask for; sizes in bytes say little about them.
+    work = sum(n * counts.get(p + d, 0) // (1 if d else 2) for p, n in counts.items() for d in range(radius + 1))
+    tasks = max(1, min(100_000, -(-work // TASK_PAIRS)))
+    pairs = left.repartition(tasks, *keys).join(right.repartition(tasks, *keys), keys).where("pop < with OR part <= part2")
     out = T.StructType([T.StructField("a", distinct.schema["rep"].dataType), T.StructField("b", distinct.schema["rep"].dataType)])
     schema = to_arrow_schema(out)
 
