@@ -73,7 +73,7 @@ def grams(code: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     return total[at], at
 
 
-def chunks(ids: list, texts: list[bytes | None], most: int = 1 << 20):
+def chunks(ids: list, texts: list[bytes | None], most: int = 1 << 18):
     """Lists of ids and texts of about ``most`` bytes together."""
     i, t, size = [], [], 0
     for a, b in zip(ids, texts):
