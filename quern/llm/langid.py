@@ -91,11 +91,12 @@ def windows_of(text: bytes) -> np.ndarray:
     return np.frombuffer(text.ljust(n * WINDOW, b"\0"), np.uint8).reshape(n, WINDOW)
 
 
-def train(windows: np.ndarray, labels: np.ndarray, classes: list[str], epochs: int = 6, batch: int = 64, rate: float = 0.004, seed: int = 0) -> ByteNetwork:
-    """Adam on shuffled batches.  A third of the windows of each batch is cut short at random, as short texts are."""
+def train(windows: np.ndarray, labels: np.ndarray, classes: list[str], epochs: int = 6, batch: int = 64, rate: float = 0.004, seed: int = 0, least_steps: int = 600) -> ByteNetwork:
+    """Adam on shuffled batches, in more epochs where so few windows would make less than ``least_steps``.  A third of the windows of each batch is cut short at random, as short texts are."""
     net, rng = ByteNetwork.new(classes, seed), np.random.default_rng(seed)
     names = ("e", "w", "b", "u", "c")
     m, v, t = [np.zeros_like(getattr(net, n)) for n in names], [np.zeros_like(getattr(net, n)) for n in names], 0
+    epochs = max(epochs, -(-least_steps * batch // len(windows)))
     for epoch in range(epochs):
         order = rng.permutation(len(windows))
         for at in range(0, len(order), batch):

@@ -70,7 +70,7 @@ class MTree:
             for at, members in todo:
                 groups = []
                 if len(members) > page:
-                    chosen = lifted[rng.choice(members, min(fanout, -(-len(members) // page) + 1), replace=False)]
+                    chosen = lifted[rng.choice(members, min(fanout, -(-len(members) // page) + 1, len(members)), replace=False)]
                     near = ((lifted[members] ** 2).sum(axis=1)[:, None] - 2 * lifted[members] @ chosen.T + (chosen**2).sum(axis=1)).argmin(axis=1)
                     groups = [(p, members[near == i]) for i, p in enumerate(chosen) if (near == i).any()]
                 if len(groups) > 1:
