@@ -192,12 +192,16 @@ def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY
     return (pieces.repartition(tasks) if tasks else pieces).mapInArrow(run, out)
 
 
-def pack_tasks(df: DataFrame) -> int:
-    """Packing tasks for the pieces of ``df``, from the size of its files as the planner knows it.
-
-    Fewer tasks leave fewer part-filled last bins; each still packs by streaming."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(1, min(100_000, -(-size // INPUT_A_TASK)))
+def pack_tasks(df: DataFrame) -> int | None:
+    """Packing tasks for the pieces of ``df``, from the sizes of the files (or kept tables) it reads.
+
+    Fewer tasks leave fewer part-filled last bins; each still packs by streaming.  None if a
+    size isn't known: then every task packs the pieces it has made."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    if any(n >= 1 << 60 for n in sizes):
+        return None
+    return max(1, min(100_000, -(-sum(sizes) // INPUT_A_TASK)))
 
 
 def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "word_bpe_49k.json", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
