@@ -2,7 +2,7 @@
 
 A B-tree is a table ``(k0, k1, ..., file, rows, row_ids)`` sorted by its keys: the least and
 greatest keys of row groups and pages, which Parquet keeps, are its inner nodes.  A bitmap
-index has ``(k0, file, bucket, bitmap)`` instead.  Null keys are kept like any other.
+index has ``(k0, file, bucket, rows, positions, bitmap)`` instead.  Null keys are kept like any other.
 """
 
 from __future__ import annotations
@@ -35,10 +35,22 @@ def btree(rows: DataFrame, columns: list[list]) -> DataFrame:
     return entries.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
+#: Rows of a bucket up to which positions (2 bytes each) are smaller than its bitmap of 4096 bytes.
+SPARSE = 2048
+
+
 def bitmap(rows: DataFrame, columns: list[list]) -> DataFrame:
-    """Row r sets bit r modulo 32768 of bucket r / 32768 (rounded down)."""
+    """Row r is position r modulo 32768 of bucket r / 32768 (rounded down; buckets count from 1).
+
+    A key's rows within a bucket are a sorted list of ``positions`` if they are few, else a
+    ``bitmap``.  The lists are gathered once; only those of dense buckets are dealt out again.
+    """
     at = F.coalesce(F.col("row"), F.lit(0)) + 1  # bucket numbers of the built-in functions begin at 1 for value 1
-    entries = rows.groupBy("k0", "file", F.bitmap_bucket_number(at).alias("bucket")).agg(F.count("*").alias("rows"), F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap"))
+    place = F.bitmap_bit_position(at).cast("short")
+    listed = rows.groupBy("k0", "file", F.bitmap_bucket_number(at).alias("bucket")).agg(F.count("*").alias("rows"), F.collect_list(place).alias("positions"))
+    sparse = listed.where(F.col("rows") <= SPARSE).select("k0", "file", "bucket", "rows", F.sort_array("positions").alias("positions"), F.lit(None).cast("binary").alias("bitmap"))
+    dense = listed.where(F.col("rows") > SPARSE).select("k0", "file", "bucket", F.explode("positions").alias("p")).groupBy("k0", "file", "bucket").agg(F.count("*").alias("rows"), F.bitmap_construct_agg(F.col("p").cast("long")).alias("bitmap"))
+    entries = sparse.unionByName(dense.select("k0", "file", "bucket", "rows", F.lit(None).cast("array<smallint>").alias("positions"), "bitmap"))
     order = [*_sorting(columns), F.col("file"), F.col("bucket")]
     return entries.repartitionByRange(*order).sortWithinPartitions(*order)
 

@@ -39,19 +39,20 @@ def _bloom_place(keys: list, seed: int, bits: int):
 
 
 def build(entries: DataFrame, width: int, options: Options, generation: str) -> DataFrame:
-    """``(file, gen, rows, entries, index_bytes, nulls, min0, max0, ..., bloom, sample, cuts)``.
+    """``(file, gen, rows, entries, index_bytes, dense, nulls, min0, max0, ..., bloom, sample, cuts)``.
 
     Bitmap indexes have only the first part (they need no more: their entries are few).
     """
     keys = [f"k{i}" for i in range(width)]
     kind = {k: entries.schema[k].dataType for k in keys}
     is_btree = "row_ids" in entries.columns
-    size = F.sum(F.lit(8) + sum((F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) for k in keys), F.lit(0)) + (8 * F.size("row_ids") if is_btree else F.octet_length("bitmap")))
+    size = F.sum(F.lit(8) + sum((F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) for k in keys), F.lit(0)) + (8 * F.size("row_ids") if is_btree else F.coalesce(F.octet_length("bitmap"), 2 * F.size("positions"))))
     base = entries.groupBy("file").agg(
         F.lit(generation).alias("gen"),
         F.sum("rows").alias("rows"),
         F.count("*").alias("entries"),
         size.cast("long").alias("index_bytes"),
+        (F.lit(0) if is_btree else F.count("bitmap")).cast("long").alias("dense"),
         *[x for i, k in enumerate(keys) for x in (F.sum(F.when(F.col(k).isNull(), F.col("rows")).otherwise(0)).alias(f"nulls{i}"), F.min(k).alias(f"min{i}"), F.max(k).alias(f"max{i}"))],
     )
     empty = {"bloom": T.ArrayType(T.StructType([T.StructField("bucket", T.LongType()), T.StructField("bitmap", T.BinaryType())])), "sample": T.ArrayType(T.StructType([T.StructField(k, kind[k]) for k in keys])), "cuts": T.ArrayType(T.StructType([T.StructField("key", kind["k0"]), T.StructField("rows", T.LongType())]))}
@@ -85,7 +86,11 @@ def build(entries: DataFrame, width: int, options: Options, generation: str) ->
 
 
 def bloom_places(spark: SparkSession, values: list[tuple], types: list[T.DataType], options: Options) -> list[list[int]]:
-    """Bit places of key prefixes, hashed by Spark as when building (a local projection, no job)."""
+    """Bit places of key prefixes, hashed by Spark as when building."""
+    if len(values) <= 20:  # literals are folded by the optimizer
+        columns = [_bloom_place([F.lit(len(types)), *[F.lit(v).cast(t) for v, t in zip(row, types)]], s, options.bloom_bits) for row in values for s in range(options.bloom_hashes)]
+        found = list(spark.sql("SELECT 1").select(*[c.alias(f"p{i}") for i, c in enumerate(columns)]).first())
+        return [found[i : i + options.bloom_hashes] for i in range(0, len(found), options.bloom_hashes)]
     schema = T.StructType([T.StructField(f"k{i}", t) for i, t in enumerate(types)])
     keys = [F.col(f"k{i}") for i in range(len(types))]
     df = spark.createDataFrame(values, schema).select(*[_bloom_place([F.lit(len(types)), *keys], s, options.bloom_bits).alias(f"p{s}") for s in range(options.bloom_hashes)])

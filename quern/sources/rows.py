@@ -51,12 +51,18 @@ def read_rows(wanted: DataFrame, columns: T.StructType, tasks: int) -> DataFrame
     return grouped.mapInArrow(run, out)
 
 
-def decode_bitmaps(entries: DataFrame) -> DataFrame:
-    """``(file, row)`` of ``(file, bucket, bitmap)``: bitmaps of one file and bucket are united in the JVM first."""
-    united = entries.groupBy("file", "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
+def decode_bitmaps(entries: DataFrame, keys: list[str] | None = None, dense: bool = True) -> DataFrame:
+    """``(*keys, file, row)`` of ``(k0, file, bucket, positions, bitmap)``: lists are exploded, bitmaps of
+    one file and bucket (and key, if it is kept) united first.  Each row has one key, so nothing comes twice.
+    ``dense``: there may be bitmaps among the entries."""
+    keys = keys or []
+    start = (F.col("bucket") - 1) * 32768
+    listed = entries.where("positions IS NOT NULL").select(*keys, "file", start.alias("start"), F.explode("positions").alias("p")).select(*keys, "file", (F.col("start") + F.col("p")).alias("row"))
+    if not dense:
+        return listed
+    united = entries.where("bitmap IS NOT NULL").groupBy(*keys, "file", "bucket").agg(F.bitmap_or_agg("bitmap").alias("bitmap"))
     # Bytes that are not zero, then their bits.
     byte = F.posexplode(F.transform(F.sequence(F.lit(1), F.octet_length("bitmap")), lambda i: F.conv(F.hex(F.substring(F.col("bitmap"), i, F.lit(1))), 16, 10).cast("int")))
-    bytes_ = united.select("file", "bucket", byte.alias("at", "byte")).where("byte <> 0")
-    bits = bytes_.select("file", "bucket", "at", F.explode(F.filter(F.sequence(F.lit(0), F.lit(7)), lambda i: F.getbit(F.col("byte"), i) == 1)).alias("bit"))
-    # Bucket b, bit p stands for value (b - 1) * 32768 + p + 1, one more than the row.
-    return bits.select("file", ((F.col("bucket") - 1) * 32768 + F.col("at") * 8 + F.col("bit")).alias("row"))
+    bytes_ = united.select(*keys, "file", "bucket", byte.alias("at", "byte")).where("byte <> 0")
+    bits = bytes_.select(*keys, "file", "bucket", "at", F.explode(F.filter(F.sequence(F.lit(0), F.lit(7)), lambda i: F.getbit(F.col("byte"), i) == 1)).alias("bit"))
+    return listed.unionByName(bits.select(*keys, "file", (start + F.col("at") * 8 + F.col("bit")).alias("row")))
