@@ -3,12 +3,13 @@
 Templates are cut into word n-grams, of which winnowing keeps the least hash in each
 window; an inverted index maps kept hashes to places in templates.  Documents are
 winnowed alike, so any run of ``GRAM + WINDOW - 1`` words that a document shares with a
-template shares a kept hash.  Hits near one diagonal become one local alignment within a band.
+template shares a kept hash.  The text around hits is aligned, and
+aligned again on both sides of each match, until nothing is left over.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from . import tokens
 from ._shared import documents, record_batches, utf8
 
-#: Words of an n-gram, n-grams of a winnowing window, diagonals on each side of a band.
+#: Words of an n-gram, n-grams of a winnowing window, words more than a template's that a match may span on each side (or the template's number, if greater).
 GRAM, WINDOW, BAND = 3, 3, 8
 #: Share of a template's words that must match in order for a match to be reported.
 MIN_COVERAGE = 0.8
@@ -81,10 +82,11 @@ class TemplateIndex:
         return cls(names, words, keys, [found[k] for k in keys.tolist()])
 
 
-def align(template: list[int], text: list[int], diagonal: int, band: int) -> tuple[int, int, int]:
+def align(template: list[int], text: list[int], diagonal: int, band: int, least: int = 0) -> tuple[int, int, int]:
     """Best local alignment of ``template[t]`` with ``text[p]`` for ``|p - t - diagonal| <= band``.
 
     ``(matched words, first matched place in the text, last + 1)``; of equally good ones the earliest end.
+    Alignments of fewer than ``least`` matched words don't count.
     """
     # Cells hold (score, matches, first place); row by row over the template.
     above: dict[int, tuple[int, int, int]] = {}
@@ -100,44 +102,75 @@ def align(template: list[int], text: list[int], diagonal: int, band: int) -> tup
                     cell = (near[0] + GAP, near[1], near[2])
             if cell[0] > 0:
                 row[p] = cell
-                if hit and cell[0] > best[0]:
+                if hit and cell[0] > best[0] and cell[1] >= least:
                     best = (*cell, p + 1)
         above = row
     return best[1], best[2], best[3]
 
 
+def _reach(words: int, band: int) -> int:
+    """Words of text that a match spans at most: each one more than the template's costs ``GAP``."""
+    return words + 2 * max(words, band)
+
+
+def occurrences(template: list[int], text: list[int], band: int, least: int) -> list[tuple[int, int, int]]:
+    """``(matched words, first, last + 1)`` of matches of ``least`` words or more that don't overlap,
+    best first within twice the longest span, then what stands on both sides of each."""
+    found, reach, wanted = [], _reach(len(template), band), Counter(template)
+    todo = [(0, len(text))]
+    while todo:
+        at, stop = todo.pop()
+        if stop - at < least:
+            continue
+        end = min(stop, at + 2 * reach)
+        part = text[at:end]
+        n = 0
+        if (Counter(part) & wanted).total() >= least:
+            n, first, last = align(template, part, 0, len(part) + len(template), least)
+        if not n:
+            if end < stop:  # what begins in the second half may end beyond it
+                todo.append((end - reach, stop))
+            continue
+        if first < reach or end == stop:  # seen whole
+            found.append((n, at + first, at + last))
+            todo += [(at + last, stop), (at, at + first)]
+        else:
+            todo += [(at + first, stop), (at, at + first)]
+    return found
+
+
 def matches_of(index: TemplateIndex, texts: list[bytes], band: int = BAND, min_coverage: float = MIN_COVERAGE) -> list[tuple[int, int, int, int, int]]:
     """``(text, template, matched words, first byte, last byte + 1)`` for the matches in ``texts``."""
     t = tokens.Tokens(texts, marks=False)
     key, at = winnow(t.code, t.doc)
     slot = np.searchsorted(index.keys, key)
     slot[slot == len(index.keys)] = 0
-    hits = defaultdict(list)
+    regions = defaultdict(list)
     for s, p in zip(*(x[index.keys[slot] == key].tolist() for x in (slot, at))):
-        for template, place in index.places[s]:
-            hits[int(t.doc[p]), template].append((p - place, p))
-    found = []
-    for (doc, template), places in sorted(hits.items()):
-        words = index.words[template]
+        doc = int(t.doc[p])
         begin, end = np.searchsorted(t.doc, [doc, doc + 1]).tolist()
-        groups: list[list[int]] = []  # first and last diagonal
-        for diagonal, _ in sorted(places):
-            if groups and diagonal - groups[-1][0] <= band:
-                groups[-1][1] = diagonal
+        for template in {template for template, _ in index.places[s]}:
+            reach = _reach(len(index.words[template]), band)
+            regions[doc, template].append((max(begin, p - reach), min(end, p + reach) - 1))
+    found = []
+    for (doc, template), spans in sorted(regions.items()):
+        words, joined = index.words[template].tolist(), []
+        for first, last in sorted(spans):
+            if joined and first <= joined[-1][1] + 1:
+                joined[-1][1] = max(joined[-1][1], last)
             else:
-                groups.append([diagonal, diagonal])
-        seen = set()
-        for low, high in groups:
-            middle = (low + high) // 2
-            start, stop = max(begin, middle - band), min(end, middle + len(words) + band)
-            n, first, last = align(words.tolist(), t.code[start:stop].tolist(), middle - start, band)
-            span = (start + first, start + last)
-            if n >= min_coverage * len(words) and span not in seen:
-                seen.add(span)
-                found.append((doc, template, n, int(t.begin[span[0]]), int(t.end[span[1] - 1])))
+                joined.append([first, last])
+        for first, last in joined:
+            for n, i, j in occurrences(words, t.code[first : last + 1].tolist(), band, _least(words, min_coverage)):
+                found.append((doc, template, n, int(t.begin[first + i]), int(t.end[first + j - 1])))
     return _undominated(index, found)
 
 
+def _least(words, min_coverage: float) -> int:
+    """Matched words from which a template's match is reported."""
+    return max(1, int(np.ceil(min_coverage * len(words) - 1e-9)))
+
+
 def _undominated(index: TemplateIndex, found: list[tuple]) -> list[tuple]:
     """Without matches that lie within a match of greater coverage (a version of the same notice)."""
     by_doc = defaultdict(list)

@@ -83,3 +83,16 @@ def test_tokens_are_runs_of_one_class():
     texts = ["Ab1 ab.".encode(), b"", "é x".encode()]
     assert [texts[d][b:e] for d, b, e in zip(t.doc, t.begin, t.end)] == [b"Ab", b"1", b"ab", b".", "é".encode(), b"x"]
     assert t.code[0] == t.code[2] and len(set(t.code.tolist())) == 5
+
+
+def test_every_copy_of_a_short_notice_is_found(spark):
+    """Copies on neighbouring lines, of one notice and of several."""
+    short = [n for n in licenses.TEMPLATES if len(licenses.TEMPLATES[n].split()) <= 8]
+    rows = [(10 * k + i, "\n".join([licenses.TEMPLATES[n]] * c)) for k, n in enumerate(short) for i, c in enumerate((2, 3, 40))]
+    mixed = random.Random(1).choices(short, k=50)
+    docs = spark.createDataFrame([*rows, (1000, " ".join(licenses.TEMPLATES[n] for n in mixed))], "doc_id long, text string")
+    found = licenses.scan(docs).collect()
+    assert len({(r["doc_id"], r["begin"]) for r in found}) == len(found) and all(r["coverage"] == 1 for r in found)
+    for k, n in enumerate(short):
+        assert [sum(r["doc_id"] == 10 * k + i and r["license"] == n for r in found) for i in range(3)] == [2, 3, 40]
+    assert [r["license"] for r in sorted(found, key=lambda r: r["begin"]) if r["doc_id"] == 1000] == mixed
