@@ -3,8 +3,9 @@
 Templates are cut into word n-grams, of which winnowing keeps the least hash in each
 window; an inverted index maps kept hashes to places in templates.  Documents are
 winnowed alike, so any run of ``GRAM + WINDOW - 1`` words that a document shares with a
-template shares a kept hash.  The text around hits is aligned, and
-aligned again on both sides of each match, until nothing is left over.
+template shares a kept hash.  Wherever enough of a template's words stand close
+together is looked at, too, as edits may leave no such run.  The text around hits is aligned,
+and aligned again on both sides of each match, until nothing is left over.
 """
 
 from __future__ import annotations
@@ -139,6 +140,15 @@ def occurrences(template: list[int], text: list[int], band: int, least: int) ->
     return found
 
 
+def _regions(places: np.ndarray, doc: np.ndarray, least: int, reach: int) -> list[tuple[int, int]]:
+    """First and last place of runs in which each ``least`` of ``places`` lie within ``reach`` of a document."""
+    if len(places) < least:
+        return []
+    first, last = places[: len(places) - least + 1], places[least - 1 :]
+    near = (last - first < reach) & (doc[first] == doc[last])
+    return list(zip(first[near].tolist(), last[near].tolist()))
+
+
 def matches_of(index: TemplateIndex, texts: list[bytes], band: int = BAND, min_coverage: float = MIN_COVERAGE) -> list[tuple[int, int, int, int, int]]:
     """``(text, template, matched words, first byte, last byte + 1)`` for the matches in ``texts``."""
     t = tokens.Tokens(texts, marks=False)
@@ -152,6 +162,13 @@ def matches_of(index: TemplateIndex, texts: list[bytes], band: int = BAND, min_c
         for template in {template for template, _ in index.places[s]}:
             reach = _reach(len(index.words[template]), band)
             regions[doc, template].append((max(begin, p - reach), min(end, p + reach) - 1))
+    # Edits may leave no kept n-gram: wherever enough of a template's words stand close together is looked at, too.
+    known = np.unique(np.concatenate(index.words)) if index.words else np.empty(0, np.uint64)
+    held = np.flatnonzero(np.isin(t.code, known))
+    for template, words in enumerate(index.words):
+        places = held[np.isin(t.code[held], words)]
+        for first, last in _regions(places, t.doc, _least(words, min_coverage), _reach(len(words), band)):
+            regions[int(t.doc[first]), template].append((first, last))
     found = []
     for (doc, template), spans in sorted(regions.items()):
         words, joined = index.words[template].tolist(), []

@@ -96,3 +96,23 @@ def test_every_copy_of_a_short_notice_is_found(spark):
     for k, n in enumerate(short):
         assert [sum(r["doc_id"] == 10 * k + i and r["license"] == n for r in found) for i in range(3)] == [2, 3, 40]
     assert [r["license"] for r in sorted(found, key=lambda r: r["begin"]) if r["doc_id"] == 1000] == mixed
+
+
+def test_edited_short_notices(spark):
+    """One word in five changed, left out or added, in notices of 5 to 8 words and in long ones."""
+    want = [("mit-notice", t) for t in ("Released under an MIT License", "Released under MIT License", "Released yyy under the xxx MIT License")]
+    want += [("apache-2.0-notice", "Licensed under the Apache Software License, Version 2.0")]
+    for name, template in licenses.TEMPLATES.items():
+        w = template.split()
+        count = len(tokens.Tokens([template.encode()], marks=False).code)
+        edits = count - int(np.ceil(0.8 * count - 1e-9))
+        plain = [i for i in range(1, len(w) - 1) if w[i].strip(",.").isalpha()]
+        for shift in range(3):
+            changed = set(plain[shift :: max(1, len(plain) // max(1, edits))][:edits])
+            want.append((name, " ".join("zzz" if i in changed else x for i, x in enumerate(w))))
+    df = spark.createDataFrame([(i, f"noise words before\n{t}\nand after") for i, (_, t) in enumerate(want)], "doc_id long, text string")
+    got = {}
+    for r in licenses.scan(df).collect():
+        got.setdefault(r["doc_id"], set()).add(r["license"])
+    gpl = {"gpl-2.0-notice", "gpl-3.0-notice"}
+    assert [t for i, (n, t) in enumerate(want) if not got.get(i, set()) & (gpl if n in gpl else {n})] == []
