@@ -204,8 +204,8 @@ def top_k(df: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", vecto
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-#: Scale of op7's whole-number components, and the divisor of its query ids (fixed values).
-SCALE, QUERY_EVERY, K = 64, 20, 10
+#: Scale of op7's whole-number components, the divisor of its query ids, and results a query (fixed values).
+SCALE, QUERY_EVERY, K = 64, 20, 20
 
 
 def whole(vector: Column, scale: int = SCALE) -> Column:
@@ -237,5 +237,5 @@ WITH rows AS (
 ), ranked AS (
   SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
 )
-SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 10
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 20
 """

@@ -79,6 +79,12 @@ def test_query(spark, table_dir):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{table_dir}/embeddings.parquet/*.parquet'")
     want = c.execute(ORACLE_SQL["op7_top_k"]).fetchall()
-    assert sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect())) == sorted(want) and want
+    found = sorted(map(tuple, got.select("query_id", "rank", "vec_id", "score").collect()))
+    assert found == sorted(want) and want
+    # The 20 highest scores of each query; all others where there are fewer.
+    assert [r[1] for r in found] == [rank for _ in (0, 20, 40) for rank in range(1, 21)]
+    few = spark.createDataFrame([(i, [1.0 * i]) for i in range(9)], "vec_id long, embedding array<double>")
+    few.write.mode("overwrite").parquet(f"{table_dir}/few/embeddings.parquet")
+    assert sorted((r["rank"], r["vec_id"]) for r in QUERIES["op7_top_k"](spark, f"{table_dir}/few").collect()) == [(i + 1, i + 1) for i in range(8)]
     huge = spark.createDataFrame([(i, [3e38, 3e38 * (i % 2)]) for i in range(3)], "vec_id long, embedding array<float>").select("vec_id", mtree.whole(F.col("embedding")).alias("vector"))
     assert mtree.top_k(huge, F.col("vec_id") == 0, 2).count() == 2
