@@ -97,6 +97,17 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     return _rebuild(_with_drops(df, columns, id_col, text_col, min_chars, min_documents), out, make)
 
 
+def keep_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+    """As ``dedup_lines``, with the columns of ``df`` and no others; ``n_chars``, where there is one, follows a text that loses lines."""
+    names = [f"v{i}" for i in range(len(df.columns))]
+    at = dict(zip(df.columns, names))
+    lines = dedup_lines(df.toDF(*names), at[id_col], at[text_col], min_chars, min_documents)
+    if "n_chars" in at:
+        count = F.char_length(at[text_col]).cast(df.schema["n_chars"].dataType)
+        lines = lines.withColumn(at["n_chars"], F.when(F.col("n_dropped") > 0, count).otherwise(F.col(at["n_chars"])))
+    return lines.select(*names).toDF(*df.columns)
+
+
 def line_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """As ``dedup_lines``, with the SHA-256 of the text that stays instead of columns."""
     out = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_sha256", T.StringType())])

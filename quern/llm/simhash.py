@@ -1,13 +1,19 @@
 """SimHash near-duplicates: fingerprints of word shingles, compared exactly in tiles.
 
-Distinct fingerprints are dealt into tiles by population count.  Two fingerprints
-whose population counts differ by more than the radius cannot be within it, so only
-tile pairs within the radius meet; each such pair is compared whole, with exclusive-or
-and bit counts in numpy, and gives at most a spanning forest of its links.
+Distinct fingerprints are dealt into tiles in the order of their population counts.  Two
+fingerprints whose population counts differ by more than the radius cannot be within it,
+so tile pairs whose counts lie further apart are skipped; every other pair is compared
+whole, with exclusive-or and bit counts in numpy, and gives at most a spanning forest of
+its links.  ``near_duplicates`` links by the fingerprints alone; ``similar_documents`` holds the
+links of wider fingerprints against the Jaccard similarity of the shingles themselves.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -16,39 +22,68 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._shared import documents, record_batches, utf8, write_shared
+from ._shared import documents, drop_shared, record_batches, utf8, write_shared
 from .components import component_labels
+from .tokens import mix
 
 #: Words in a shingle, differing bits that still link, and the hash's seed.
 SHINGLE, RADIUS, SEED = 4, 4, 42
-#: Fingerprints a tile holds on average at most.
-TILE_ROWS = 8192
-#: Tiles of a group, and comparisons a task is to make, about (a second or so).
-GROUP_TILES, TASK_PAIRS = 8, 500_000_000
+#: ``similar_documents``: words in a shingle, least Jaccard similarity, and the differing bits of 128 up to
+#: which it is computed.  At similarity 0.8 some 20 bits differ, with a standard deviation of 4.
+SIMILAR_SHINGLE, SIMILARITY, SIMILAR_RADIUS = 5, 0.8, 32
+#: Fingerprints of a tile at least and at most; in between, tables have about so many tiles.
+LEAST_TILE, MOST_TILE, TILES = 1 << 14, 1 << 18, 64
+#: Comparisons a task is to make, about (a second or so); links a comparison holds before it thins them out.
+TASK_PAIRS, HELD_LINKS = 500_000_000, 1 << 20
+#: Links that one task thins out, about.
+THINNED_LINKS = 500_000
+#: Bytes of a text whose words are split at a time.
+SLICE = 1 << 20
+_GAP = re.compile(rb"[\t-\r ]")
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """A bit is 1 if set in over half of the XXH64 of the shingles (repeats included).
+def shingle_hashes(text: bytes | None, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles of a text, repeats included, some at a time.
 
     Shingles are ``shingle`` words with A-Z lower-cased, joined by blanks; with fewer words
-    there is one shingle of all words, with none the fingerprint is 0.
+    there is one shingle of all words, with none there is none.
     """
-    words = (text or b"").lower().split()
-    if not words:
-        return 0
-    line = b" ".join(words)
-    if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(line, SEED)]
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words]) - 1
-        begins = np.concatenate(([0], ends[:-1] + 1))
-        digest, view = xxhash.xxh64_intdigest, memoryview(line)
-        hashes = [digest(view[i:j], SEED) for i, j in zip(begins[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())]
-    counts = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 1 << 16):
-        part = np.array(hashes[i : i + (1 << 16)], ">u8")
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
+    text, held, at, some = text or b"", [], 0, False
+    digest = xxhash.xxh64_digest
+    while at < len(text):
+        gap = _GAP.search(text, at + SLICE) if at + SLICE < len(text) else None
+        end = gap.end() if gap else len(text)
+        held += text[at:end].lower().split()
+        at = end
+        if len(held) >= shingle:
+            ends = np.cumsum(np.fromiter(map(len, held), np.int64, len(held)) + 1) - 1
+            begins = np.concatenate(([0], ends[:-1] + 1))
+            view, count = memoryview(b" ".join(held)), len(held) - shingle + 1
+            yield np.frombuffer(b"".join([digest(view[i:j], SEED) for i, j in zip(begins[:count].tolist(), ends[shingle - 1 :].tolist())]), ">u8")
+            held, some = held[count:], True
+    if held and not some:
+        yield np.frombuffer(digest(b" ".join(held), SEED), ">u8")
+
+
+def majority(hashes: Iterable[np.ndarray]) -> int:
+    """A bit is 1 if set in over half of the hashes."""
+    counts, n = np.zeros(64, np.int64), 0
+    for h in hashes:
+        n += len(h)
+        for i in range(0, len(h), 1 << 16):
+            part = h[i : i + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
+            counts += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """A bit is 1 if set in over half of the XXH64 of the shingles (repeats included)."""
+    return majority(shingle_hashes(text, shingle))
+
+
+def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted."""
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *(h.astype(np.uint64) for h in shingle_hashes(text, shingle))]))
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -64,81 +99,144 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return df.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, out)
 
 
-def _forest(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> list[tuple[int, int]]:
-    """Links ``(i, j)`` between ``a[i]`` and ``b[j]`` (positions in ``b`` begin at ``len(a)`` unless
-    ``same``) that connect what all pairs within ``radius`` connect; at most one less than the nodes."""
-    shift = 0 if same else len(a)
-    group = np.arange(len(a) if same else len(a) + len(b))
-    links: list[tuple[int, int]] = []
-    rows = max(1, (1 << 19) // max(1, len(b)))
-    for at in range(0, len(a), rows):
-        low = at + 1 if same else 0  # of equal tiles, each pair once
-        near = np.bitwise_count(a[at : at + rows, None] ^ b[None, low:]) <= radius
+def spanning_forest(i: np.ndarray, j: np.ndarray, d: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the links ``(i, j)`` of lengths ``d`` a minimum spanning forest keeps, and each node's group.
+
+    Boruvka's rounds: every group takes its shortest link (ties by the ends), all at once.
+    """
+    order = np.lexsort((j, i, d))
+    i, j = i[order], j[order]
+    group, chosen, live = np.arange(n), [], np.arange(len(order))
+    while True:
+        a, b = group[i[live]], group[j[live]]
+        apart = a != b
+        live, a, b = live[apart], a[apart], b[apart]
+        if not len(live):
+            break
+        best = np.full(n, len(order))
+        best[a[::-1]] = live[::-1]  # of repeated places the last one counts: the shortest
+        other = np.full(n, len(order))
+        other[b[::-1]] = live[::-1]
+        best = np.minimum(best, other)
+        asking = np.flatnonzero(best < len(order))
+        link = best[asking]
+        chosen.append(np.unique(link))
+        parent = np.arange(n)
+        parent[asking] = group[i[link]] + group[j[link]] - asking
+        mutual = (parent[parent] == np.arange(n)) & (np.arange(n) < parent)
+        parent[mutual] = np.flatnonzero(mutual)
+        while (up := parent[parent]).tobytes() != parent.tobytes():
+            parent = up
+        group = parent[group]
+    return order[np.concatenate(chosen)] if chosen else np.empty(0, np.int64), group
+
+
+def compare_tiles(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(i, j, distance)``: a minimum spanning forest of all pairs within ``radius``.
+
+    ``a`` and ``b`` hold a fingerprint a row, in words of 64 bits; positions in ``b`` begin at
+    ``len(a)``; without ``b`` the pairs are those within ``a``.  Links held are thinned out in
+    between, and what a pair's shorter links connect already is not held at all.
+    """
+    same = b is None
+    b = a if same else b
+    shift, n = (0 if same else len(a)), len(a) + (0 if same else len(b))
+    kept = (np.empty(0, np.int64),) * 3
+    held, size, linked = [kept], 0, []
+    levels = sorted({radius * k // 4 for k in range(5)})
+
+    def thin():
+        nonlocal held, size, linked
+        i, j, d = (np.concatenate(x) for x in zip(*held))
+        keep, _ = spanning_forest(i, j, d, n)
+        i, j, d = i[keep], j[keep], d[keep]
+        linked = [(level, spanning_forest(i[d <= level], j[d <= level], d[d <= level], n)[1]) for level in levels]
+        held, size = [(i, j, d)], 0
+
+    step = max(1, (1 << 19) // max(1, len(b)))
+    for at in range(0, len(a), step):
+        low, rows = (at + 1 if same else 0), a[at : at + step]  # of equal tiles, each pair once
+        away = np.bitwise_count(rows[:, None, 0] ^ b[None, low:, 0])
+        for w in range(1, a.shape[1]):
+            away = away + np.bitwise_count(rows[:, None, w] ^ b[None, low:, w])
+        near = away <= radius
         if same:
-            near &= np.arange(low, len(b))[None, :] > np.arange(at, min(at + rows, len(a)))[:, None]
-        for i in np.flatnonzero(near.any(axis=1)).tolist():
-            to = np.flatnonzero(near[i]) + low + shift
-            mine = group[at + i]
-            other = to[group[to] != mine]
-            while other.size:
-                first = int(other[0])
-                links.append((at + i, first))
-                group[group == group[first]] = mine
-                other = other[group[other] != mine]
-    return links
+            near &= np.arange(low, len(b))[None, :] > np.arange(at, at + len(rows))[:, None]
+        if not near.any():
+            continue
+        x, y = np.nonzero(near)
+        d, x, y = away[x, y].astype(np.int64), x + at, y + low + shift
+        for level, group in linked:
+            new = (d < level) | (group[x] != group[y])
+            x, y, d = x[new], y[new], d[new]
+        held.append((x, y, d))
+        size += len(x)
+        if size > HELD_LINKS:
+            thin()
+    thin()
+    return held[0]
+
 
+def _matrix(row: dict, columns: tuple[str, ...]) -> np.ndarray:
+    return np.stack([row[c].values.to_numpy(zero_copy_only=False).view(np.uint64) for c in columns], axis=1)
 
-def links_within(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """``(a, b)``: representatives whose links connect all that lie within ``radius`` of each other.
 
-    ``distinct(fp, rep)`` holds each fingerprint once.  Tiles of a population count are
-    grouped by ``GROUP_TILES``; a pair of groups, at most ``GROUP_TILES`` squared pairs of tiles,
-    is one key of a join, so no population count meets in one task.  A task compares one
-    pair of tiles at a time.
+def links_within(distinct: DataFrame, radius: int = RADIUS, columns: tuple[str, ...] = ("fp",), tile_rows: int | None = None) -> DataFrame:
+    """``(a, b, distance)``: representatives whose links connect all that lie within ``radius`` of each other.
+
+    ``distinct`` has ``rep`` and the fingerprint's words (at most three) in ``columns``, each
+    fingerprint once or more.  Of each pair of tiles a minimum spanning forest is linked, so all
+    together hold a minimum spanning forest of all pairs.  A tile goes to each tile it is
+    compared with; a task holds one pair of tiles at a time.  Written to the shared folder.
     """
-    pop = F.bit_count("fp").cast("int")
-    counts = {r["pop"]: r["n"] for r in distinct.groupBy(pop.alias("pop")).agg(F.count("*").alias("n")).collect()}  # at most 65 rows
-    parts = {p: -(-n // tile_rows) for p, n in counts.items()}
-    groups = {p: -(-n // GROUP_TILES) for p, n in parts.items()}
-    of = lambda table, key: F.element_at(F.create_map(*[F.lit(x).cast("int") for kv in (table or {-1: 0}).items() for x in kv]), key)
-    dealt = distinct.withColumn("pop", pop).withColumn("part", F.pmod(F.xxhash64("fp"), of(parts, F.col("pop"))).cast("int"))
-    tiles = dealt.groupBy("pop", "part").agg(F.collect_list(F.struct("fp", "rep")).alias("rows")).select("pop", "part", "rows.fp", "rows.rep")
-    tiles, _ = write_shared(tiles, "tiles")
-    has = lambda c: F.col(c).isin([*counts])
-    once = "pop < with OR g1 <= g2"
-    left = tiles.select("*", F.explode(F.sequence(F.col("pop"), F.col("pop") + F.lit(radius))).alias("with"), F.floor(F.col("part") / GROUP_TILES).cast("int").alias("g1")).where(has("with"))
-    left = left.select("*", F.explode(F.sequence(F.lit(0), of(groups, F.col("with")) - 1)).alias("g2")).where(once)
-    right = tiles.select(F.col("pop").alias("with"), F.col("part").alias("part2"), F.col("fp").alias("fp2"), F.col("rep").alias("rep2"), F.floor(F.col("part") / GROUP_TILES).cast("int").alias("g2"))
-    right = right.select("*", F.explode(F.sequence(F.col("with") - F.lit(radius), F.col("with"))).alias("pop")).where(has("pop"))
-    right = right.select("*", F.explode(F.sequence(F.lit(0), of(groups, F.col("pop")) - 1)).alias("g1")).where(once)
-    keys = ["pop", "with", "g1", "g2"]
-    # As many tasks as the comparisons ask for; sizes in bytes say little about them.
-    work = sum(n * counts.get(p + d, 0) // (1 if d else 2) for p, n in counts.items() for d in range(radius + 1))
-    tasks = max(1, min(100_000, -(-work // TASK_PAIRS)))
-    pairs = left.repartition(tasks, *keys).join(right.repartition(tasks, *keys), keys).where("pop < with OR part <= part2")
-    out = T.StructType([T.StructField("a", distinct.schema["rep"].dataType), T.StructField("b", distinct.schema["rep"].dataType)])
+    spark = distinct.sparkSession
+    pop = sum((F.bit_count(c) for c in columns[1:]), F.bit_count(columns[0])).cast("int")
+    counts = sorted((r["pop"], r["n"]) for r in distinct.groupBy(pop.alias("pop")).agg(F.count("*").alias("n")).collect())  # at most 64 rows a word, and one
+    total = sum(n for _, n in counts)
+    rows = tile_rows or max(LEAST_TILE, min(MOST_TILE, -(-total // TILES)))
+    # Places in the order of population counts; within one, by hash.
+    ends = np.cumsum([n for _, n in counts])
+    begin = {p: int(e) - n for (p, n), e in zip(counts, ends)}
+    pops = np.array([p for p, _ in counts])
+    spans = []
+    for t in range(-(-total // rows)):
+        least, most = (int(pops[np.searchsorted(ends, place, side="right")]) for place in (t * rows, min(total, (t + 1) * rows) - 1))
+        first = begin[int(pops[np.searchsorted(pops, least - radius)])] // rows
+        last = (int(ends[np.searchsorted(pops, most + radius, side="right") - 1]) - 1) // rows
+        spans.append((t, first, last))
+    out = T.StructType([T.StructField("a", distinct.schema["rep"].dataType), T.StructField("b", distinct.schema["rep"].dataType), T.StructField("distance", T.IntegerType())])
+    if not spans:
+        return spark.createDataFrame([], out)
     schema = to_arrow_schema(out)
+    of = lambda table: F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in table.items() for x in kv]), pop.cast("long"))
+    place = of(begin) + F.floor(F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) * of(dict(counts)) / (1 << 30))
+    tiles = distinct.select(F.floor(place / rows).cast("int").alias("tile"), *columns, "rep").groupBy("tile").agg(F.collect_list(F.struct(*columns, "rep")).alias("row"))
+    tiles, path = write_shared(tiles.select("tile", *[F.col("row")[c].alias(c) for c in (*columns, "rep")]), "tiles")
+    # A row of three numbers for each tile.
+    met = tiles.join(F.broadcast(spark.createDataFrame(spans, "tile int, first int, last int")), "tile")
+    met = met.select("tile", *columns, "rep", F.explode(F.sequence("first", "last")).alias("other")).withColumns({"t": F.least("tile", "other"), "u": F.greatest("tile", "other")})
 
-    def run(batches):
-        def rows():
-            for batch in batches:
-                for k in range(batch.num_rows):
-                    one = {n: batch.column(n)[k] for n in batch.schema.names}
-                    same = one["pop"].as_py() == one["with"].as_py() and one["part"].as_py() == one["part2"].as_py()
-                    a, b = (one[n].values.to_numpy(zero_copy_only=False).view(np.uint64) for n in ("fp", "fp2"))
-                    ids = [*one["rep"].as_py(), *([] if same else one["rep2"].as_py())]
-                    yield from ((ids[i], ids[j]) for i, j in _forest(a, b, same, radius))
+    def run(table: pa.Table) -> pa.Table:
+        found = sorted(({c: table.column(c)[k] for c in table.column_names} for k in range(table.num_rows)), key=lambda r: r["tile"].as_py())
+        sides = [_matrix(r, columns) for r in found]
+        i, j, d = compare_tiles(sides[0], sides[1] if len(sides) > 1 else None, radius)
+        reps = pa.concat_arrays([r["rep"].values for r in found]).cast(schema.field(0).type)
+        return pa.table([reps.take(pa.array(i)), reps.take(pa.array(j)), pa.array(d, pa.int32())], schema=schema)
 
-        yield from record_batches(rows(), schema)
-
-    return pairs.select("pop", "with", "part", "part2", "fp", "fp2", "rep", "rep2").mapInArrow(run, out)
+    # As many tasks as the comparisons ask for; sizes in bytes say little about them.
+    pairs = sum(last - t + 1 for t, _, last in spans)
+    tasks = max(1, min(100_000, pairs, -(-pairs * rows * min(rows, total) // TASK_PAIRS)))
+    links, _ = write_shared(met.drop("other").repartition(tasks, "t", "u").groupBy("t", "u").applyInArrow(run, out), "links")
+    drop_shared(spark, path)
+    return links
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``(id_col, fingerprint, component_id)`` for every row: 16 hex digits, and the smallest id reachable by links.
 
     Texts link if their fingerprints differ in ``radius`` bits or fewer.  Null, empty and
-    blank texts have fingerprint 0 and link like any other.  Rows that repeat an id each
+    blank texts have fingerprint 0 and link like any other; very long texts are hashed a
+    slice at a time.  Rows that repeat an id each
     have their row; all copies of one text share a fingerprint, of which the comparison sees
     one.  A null id is never a representative: a component of null ids only has a null
     ``component_id``.  An empty table gives an empty one; other columns are not read.
@@ -151,19 +249,126 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return fps.join(classes, "fp", "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``df``, with all columns, of each component's smallest id.
+def _described(docs: DataFrame, shingle: int) -> DataFrame:
+    """``(id, fp0, fp1, node)`` of ``docs(id, text)``: 128 bits over the distinct shingles, and a digest of their set."""
+    out = T.StructType([docs.schema["id"], T.StructField("fp0", T.LongType()), T.StructField("fp1", T.LongType()), T.StructField("node", T.BinaryType())])
+    schema = to_arrow_schema(out)
+
+    def rows(batches):
+        for b in batches:
+            for i, text in zip(b.column(0).to_pylist(), utf8(b.column(1))):
+                found = shingle_set(text, shingle)
+                yield i, *np.array([majority([found]), majority([mix(found)])], np.uint64).view(np.int64).tolist(), _digest(found)
+
+    return docs.select("id", "text").mapInArrow(lambda batches: record_batches(rows(batches), schema), out)
 
-    Rows that repeat that id are one document: the least of them stays.  Rows without an id
-    cannot be referred to; they take no part and all stay.  Texts move once, by id.
+
+def _digest(found: np.ndarray) -> bytes:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+
+
+def _thinned(links: DataFrame) -> DataFrame:
+    """A part of ``links(a, b, distance)`` that holds a minimum spanning forest of them; written.
+
+    Each task keeps a forest of its share, some hundred thousand links.
+    """
+    out, tasks = links.schema, max(1, -(-links.count() // THINNED_LINKS))
+    schema = to_arrow_schema(out)
+
+    def run(batches):
+        whole = pa.Table.from_batches(list(batches), schema=schema)
+        ends = pa.concat_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in whole.columns[:2]]).dictionary_encode()
+        at = ends.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        keep, _ = spanning_forest(at[: len(whole)], at[len(whole) :], whole.column(2).to_numpy(), len(ends.dictionary))
+        yield from whole.take(pa.array(np.sort(keep))).combine_chunks().to_batches(max_chunksize=10_000)
+
+    return write_shared(links.repartition(tasks).mapInArrow(run, out), "thinned")[0]
+
+
+def _verified(links: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The ``(a, b)`` of ``links`` whose shingle sets have a Jaccard similarity of ``similarity`` or more."""
+    kept = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("hashes", T.BinaryType())])
+    schema = to_arrow_schema(kept)
+
+    def sets(batches):
+        def rows():
+            for b in batches:
+                for node, text in zip(b.column(0).to_pylist(), utf8(b.column(1))):
+                    found = shingle_set(text, shingle)
+                    if _digest(found) == node:  # a row that only repeats the id is another text
+                        yield node, found.tobytes()
+
+        yield from record_batches(rows(), schema, weight=lambda r: len(r[1]), most_weight=8 << 20)
+
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = nodes.join(ends, "node", "left_semi").select("node", F.col("rep").alias("id"))
+    texts = docs.join(asked, "id").select("node", "text")
+    held, _ = write_shared(texts.mapInArrow(sets, kept).groupBy("node").agg(F.min("hashes").alias("hashes")), "sets")
+    pairs = links.join(held.select(F.col("node").alias("a"), F.col("hashes").alias("mine")), "a").join(held.select(F.col("node").alias("b"), F.col("hashes").alias("other")), "b")
+    out = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+    pair = to_arrow_schema(out)
+
+    def run(batches):
+        for b in batches:
+            good = []
+            for x, y in zip(b.column(2), b.column(3)):
+                mine, other = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(mine, other, assume_unique=True))
+                good.append(both >= similarity * (len(mine) + len(other) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], schema=pair).filter(pa.array(good, pa.bool_()))
+
+    return pairs.select("a", "b", "mine", "other").mapInArrow(run, out)
+
+
+def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, radius: int = SIMILAR_RADIUS) -> DataFrame:
+    """``(id_col, component_id)`` for every row: the smallest id reachable by links of similar texts.
+
+    Two texts are similar if the Jaccard similarity of their sets of ``shingle`` words (fewer words: the
+    whole sequence) is ``similarity`` or more.  All pairs of distinct sets are compared by
+    128-bit fingerprints in tiles; a minimum spanning forest of those within ``radius`` bits is then
+    held against the sets themselves, so no link is false.  A link is missed if its texts differ in more
+    bits, or if all shorter ways between them fail; README has the measured share.
+
+    Null, empty and blank texts have the empty set and are copies of each other; texts of one set,
+    whatever their order, are too.  Rows that repeat an id each have their row.  A
+    component of null ids only has a null ``component_id``.  An empty table gives an empty
+    one; other columns are not read.  A text's set, 8 bytes a word, is held as a whole.
     """
-    named = df.where(F.col(id_col).isNotNull())
-    kept = near_duplicates(named, id_col, text_col, shingle, radius).select(F.col("component_id").alias("kept_id")).distinct()
-    others = [c for c in df.columns if c != id_col]
-    stay = named.join(kept, F.col(id_col) == F.col("kept_id"), "left_semi")
-    # Partitioned by id already: no further shuffle.
-    one = stay.groupBy(id_col).agg(F.min(F.struct(*others)).alias("row")) if others else stay.distinct()
-    return one.select(*[F.col(c) if c == id_col or not others else F.col("row")[c].alias(c) for c in df.columns]).unionByName(df.where(F.col(id_col).isNull()))
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows, _ = write_shared(_described(docs, shingle), "described")
+    nodes, _ = write_shared(rows.groupBy("node").agg(F.min("id").alias("rep"), F.min("fp0").alias("fp0"), F.min("fp1").alias("fp1")), "nodes")
+    links = _thinned(links_within(nodes.where("rep IS NOT NULL").select("fp0", "fp1", F.col("node").alias("rep")), radius, ("fp0", "fp1")))
+    named = component_labels(_verified(links, nodes, docs, shingle, similarity))
+    classes = nodes.join(named, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
+    least = classes.groupBy("component").agg(F.min("rep").alias("component_id"))
+    return rows.join(classes.join(least, "component").select("node", "component_id"), "node").select(F.col("id").alias(id_col), "component_id")
+
+
+def _holds_map(kind: T.DataType) -> bool:
+    parts = [f.dataType for f in kind.fields] if isinstance(kind, T.StructType) else [kind.elementType] if isinstance(kind, T.ArrayType) else []
+    return isinstance(kind, T.MapType) or any(map(_holds_map, parts))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", find=near_duplicates) -> DataFrame:
+    """The rows of ``df``, with all columns, of each component's smallest id; components are those of ``find``.
+
+    Rows that repeat that id are one document: the one of the least hash over all columns but
+    maps stays.  Rows without an id cannot be referred to; they take no part and all stay.  Texts move once, by id.
+    Columns may have any name.
+    """
+    named, names = df.where(F.col(id_col).isNotNull()), [f"c{i}" for i in range(len(df.columns))]
+    kept = find(named, id_col, text_col).select(F.col("component_id").alias("kept_id")).distinct()
+    at = names[df.columns.index(id_col)]
+    others = [c for c in names if c != at]
+    stay = named.toDF(*names).join(kept, F.col(at) == F.col("kept_id"), "left_semi")
+    if others:
+        hashed = [F.col(c) for c, f in zip(names, df.schema.fields) if not _holds_map(f.dataType)]
+        order = F.struct(F.xxhash64(*hashed), F.xxhash64(F.lit(1), *hashed))
+        # Partitioned by id already: no further shuffle.
+        stay = stay.groupBy(at).agg(F.min_by(F.struct(*others), order).alias("row")).select(*[F.col(c) if c == at else F.col("row")[c].alias(c) for c in names])
+    else:
+        stay = stay.distinct()
+    return stay.toDF(*df.columns).unionByName(df.where(F.col(id_col).isNull()))
 
 
 def op6_simhash(spark, sf_dir) -> DataFrame:

@@ -68,7 +68,7 @@ def clashing(docs):
     """Columns named like results and like the operators' own."""
     from pyspark.sql import functions as F
 
-    names = "id score predicted held_out lang_pred fp rep fingerprint component_id size key cut taken target source_size n_lines n_dropped drops piece start length media license begin end label words pos h1 h2 node component sequence_id offset".split()
+    names = "id score predicted held_out lang_pred fp rep fingerprint component_id size key cut taken target source_size n_lines n_dropped drops piece start length media license begin end label words pos h1 h2 node component sequence_id offset kept_id row rows node c0 c1 hashes tile t u".split()
     return docs.withColumns({n: F.lit("clash") for n in names})
 
 

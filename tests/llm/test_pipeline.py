@@ -8,7 +8,7 @@ from quern.llm import quality
 from .test_linededup import brute
 from .test_mixing import WORD, targets
 from .test_packing import check
-from .test_simhash import brute_components, brute_fingerprint
+from .test_simhash import brute_similar
 
 
 def test_stages_in_turn(spark, docs, labels, table_dir):
@@ -26,7 +26,7 @@ def test_stages_in_turn(spark, docs, labels, table_dir):
     assert sorted((r[0], r[1] or "") for r in lines) == sorted((i, t) for i, _, _, t in brute([r[:2] for r in first]))
     changed = {r[0]: r for r in first}
     assert all(r[4] == (changed[r[0]][4] if r[1] == changed[r[0]][1] else len(r[1])) and r[2:4] == changed[r[0]][2:4] for r in lines)
-    keep = set(brute_components({r[0]: brute_fingerprint(r[1]) for r in lines}).values())
+    keep = set(brute_similar(lines)[0].values())
     assert sorted(map(repr, near)) == sorted(repr(r) for r in lines if r[0] in keep)
     sizes = defaultdict(int)
     for r in near:

@@ -61,25 +61,111 @@ def planted(seed, groups=12, each=14):
     return found + [int(x) for x in rng.integers(0, 1 << 63, 40)] + [0, 1, (1 << 64) - 1]
 
 
-@pytest.mark.parametrize("tile_rows,groups", [(3, 2), (8192, 8)])
-def test_links_connect_what_all_pairs_connect(spark, tile_rows, groups, monkeypatch):
-    monkeypatch.setattr(simhash, "GROUP_TILES", groups)
+@pytest.mark.parametrize("tile_rows", [3, 40, None])
+def test_links_connect_what_all_pairs_connect(spark, tile_rows):
     fps = dict(enumerate(dict.fromkeys(planted(1))))
     df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, i) for i, f in fps.items()], "fp long, rep long")
     links = simhash.links_within(df, tile_rows=tile_rows)
-    assert all((fps[r["a"]] ^ fps[r["b"]]).bit_count() <= 4 for r in links.collect())
+    assert all((fps[r["a"]] ^ fps[r["b"]]).bit_count() == r["distance"] <= 4 for r in links.collect())
     label = {r["node"]: r["component"] for r in component_labels(links).collect()}
     assert {i: label.get(i, i) for i in fps} == brute_components(fps)
 
 
-def test_forest_of_dense_tiles():
-    """A tile of many mutual links gives a forest only."""
-    rng = np.random.default_rng(0)
-    a = np.unique(np.array([1 << int(x) | 1 << int(y) for x, y in rng.integers(0, 64, (400, 2))], np.uint64))
-    links = simhash._forest(a, a, True, 4)
-    assert len(links) == len(a) - 1
-    b = np.array([3, 1 << 40], np.uint64)
-    assert all(i < len(a) <= j for i, j in simhash._forest(a, b, False, 4))
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 60), st.integers(1, 2), st.sampled_from([0, 3, 20]), st.sampled_from([3, 1 << 20]), st.integers(0, 9))
+def test_tiles_give_a_minimum_spanning_forest(n, words, radius, held, seed):
+    rng, before = np.random.default_rng(seed), simhash.HELD_LINKS
+    base = rng.integers(0, 1 << 63, (1 + n // 8, words), dtype=np.uint64)
+    a = base[rng.integers(0, len(base), n)] ^ (np.uint64(1) << rng.integers(0, 64, (n, words), dtype=np.uint64))
+    away = np.bitwise_count(a[:, None] ^ a[None]).sum(axis=2).astype(int)
+    simhash.HELD_LINKS = held
+    try:
+        for b, first in ((None, 0), (a[n // 2 :], n // 2)):
+            i, j, d = simhash.compare_tiles(a if b is None else a[: n // 2], b, radius)
+            x, y = np.nonzero(np.triu(away, 1) <= radius) if b is None else np.nonzero(away[:first, first:] <= radius)
+            x, y = (x[x < y], y[x < y]) if b is None else (x, y + first)
+            assert (away[i, j] == d).all() and (d <= radius).all()
+            # Prim's or Kruskal's forests have one length: found here by growing groups link by link.
+            group, length, count = list(range(n)), 0, 0
+            for w, p, q in sorted(zip(away[x, y].tolist(), x.tolist(), y.tolist())):
+                if group[p] != group[q]:
+                    group = [group[q] if g == group[p] else g for g in group]
+                    length, count = length + w, count + 1
+            assert (len(d), d.sum()) == (count, length)
+    finally:
+        simhash.HELD_LINKS = before
+
+
+def test_long_texts_are_hashed_in_slices(monkeypatch):
+    text = " ".join(f"w{i % 977}\t{i}" for i in range(3000)).encode()
+    whole = simhash.fingerprint(text), simhash.shingle_set(text, 5).tolist()
+    assert whole[0] == brute_fingerprint(text.decode())
+    for size in (1, 7, 1000):
+        monkeypatch.setattr(simhash, "SLICE", size)
+        assert (simhash.fingerprint(text), simhash.shingle_set(text, 5).tolist()) == whole
+    assert simhash.fingerprint(b"x" * 5000) == brute_fingerprint("x" * 5000)
+
+
+def test_memory_of_a_text_of_64_mb():
+    import tracemalloc
+
+    text = b"some words of a text that goes on %d\n" % 1 * ((64 << 20) // 38)
+    tracemalloc.start()
+    simhash.fingerprint(text)
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+
+
+def shingles_of(text, n=5):
+    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    for c in "\t\n\x0b\x0c\r":
+        words = words.replace(c, " ")
+    words = [w for w in words.split(" ") if w]
+    return frozenset(" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))) if words else frozenset()
+
+
+def brute_similar(rows, least=0.8):
+    """Least id reachable over all pairs of Jaccard similarity ``least`` or more; and these pairs."""
+    sets, parent, links = {r[0]: shingles_of(r[1]) for r in rows}, {r[0]: r[0] for r in rows}, []
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for n, i in enumerate(sorted(sets)):
+        for j in sorted(sets)[n + 1 :]:
+            x, y = sets[i], sets[j]
+            if x == y or len(x & y) >= least * len(x | y) - 1e-9:
+                links.append((i, j))
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return {i: find(i) for i in sets}, links
+
+
+def test_similar_documents(spark, docs, rows, clashing, empty):
+    rng = np.random.default_rng(5)
+    made = [tuple(r[:2]) for r in rows]
+    for family in range(6):  # copies of one text with ever more words changed: similarities from 1 down to 0.4
+        base = [f"f{family}w{x}" for x in rng.integers(0, 500, 120)]
+        for k in range(12):
+            words = list(base)
+            for at in rng.integers(0, len(words), k):
+                words[at] = f"new{rng.integers(0, 1 << 30)}"
+            made.append((1000 + 20 * family + k, " ".join(words)))
+    want, links = brute_similar(made)
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(df).collect()}
+    assert len(got) == len(made)
+    assert all(got[i] >= want[i] and want[got[i]] == want[i] for i in got)  # no link between what isn't linked
+    unlike = [(i, j) for i, j in links if shingles_of(dict(made)[i]) != shingles_of(dict(made)[j])]
+    assert len(unlike) > 40 and sum(got[i] == got[j] for i, j in unlike) >= 0.95 * len(unlike)
+    assert all(got[i] == got[j] for i, j in links if (i, j) not in set(unlike))
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(simhash.similar_documents(clashing)) == key(simhash.similar_documents(docs))
+    assert simhash.similar_documents(empty).count() == 0
+    kept = simhash.keep_one(clashing, find=simhash.similar_documents)
+    assert kept.columns == clashing.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(brute_similar(rows)[0].values()))
 
 
 @settings(max_examples=5, deadline=None)
@@ -125,3 +211,16 @@ def test_repeated_and_missing_ids(spark):
     got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_duplicates(df).collect()), key=str)
     assert got == sorted([(1, 1), (1, 1), (None, 1), (None, None), (2, 2), (3, 2)], key=str)
     assert sorted((r["doc_id"] for r in simhash.keep_one(df).collect()), key=str) == [1, 2, None, None]
+    got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.similar_documents(df).collect()), key=str)
+    assert got == sorted([(1, 1), (1, 1), (None, 1), (None, None), (2, 2), (3, 2)], key=str)
+
+
+def test_keep_one_of_any_columns(spark):
+    """Names like the operator's own, and columns that have no order."""
+    rows = [(1, "a b c d e", {"x": 1}, "k"), (1, "a b c d e", {"x": 1}, "k"), (2, "a b c d e", None, None), (None, "z", {}, "r")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept_id map<string,int>, row string").withColumn("c0", F.lit(1))
+    for find in (simhash.near_duplicates, simhash.similar_documents):
+        kept = simhash.keep_one(df, find=find)
+        assert kept.columns == df.columns and sorted((r["doc_id"] or 0, str(r["kept_id"]), r["row"]) for r in kept.collect()) == [(0, "{}", "r"), (1, "{'x': 1}", "k")]
+    only = df.select("doc_id")
+    assert simhash.keep_one(only.withColumn("text", F.lit("t")).select("doc_id", "text")).count() == 2
