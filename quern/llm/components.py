@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ._shared import drop_shared, write_shared
 
+#: Links that a task of a round writes, about: small rounds are then a few files, not one for each shuffle partition.
+LINKS_A_TASK = 100_000
 #: Rounds after which a run is given up; the number needed grows with the logarithm of the longest path.
 MOST_ROUNDS = 60
 
@@ -39,14 +41,15 @@ def component_labels(links: DataFrame) -> DataFrame:
     a great many links is never in one task as a whole (AQE splits its side of the join).
     """
     spark = links.sparkSession
-    now, path = write_shared(links.where("a <> b").select("a", "b").distinct(), "links")
+    now, path = write_shared(links.where("a <> b").select("a", "b"), "links")
     before = None
     for _ in range(MOST_ROUNDS):
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == before or not state[0]:
             break
         before, old = state, path
-        now, path = write_shared(_small_star(_large_star(now)), "links")
+        # A round makes no more links than it is given, and one for each node.
+        now, path = write_shared(_small_star(_large_star(now)).coalesce(max(1, -(-state[0] // LINKS_A_TASK))), "links")
         drop_shared(spark, old)
     else:
         raise RuntimeError("components: too many rounds")
