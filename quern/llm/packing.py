@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._shared import documents, record_batches
+from ._shared import documents, record_batches, write_shared
 
 #: Tokens in a sequence, the id that ends each document, and bins open at a time in a task.
 CAPACITY, END_ID, OPEN_BINS = 2048, 0, 4096
-#: Bytes of input files whose pieces one task packs, about; the pieces themselves are far smaller.
-INPUT_A_TASK = 1 << 30
+#: Tokens that one task packs, about (8192 sequences): the few part-filled bins that it ends with hardly count.
+TOKENS_A_TASK = 1 << 24
+#: Characters of a text that are split into chunks at a time.
+SLICE = 1 << 20
 #: Chunks, and words, whose ids a worker keeps in each of two generations.
 KEPT = 200_000
 
@@ -85,7 +87,13 @@ class ChunkTokenizer:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
+        text, parts, at = text.replace("\n", " "), [], 0
+        while at < len(text):
+            blank = text.find(" ", at + SLICE)
+            end = len(text) if blank < 0 else blank
+            parts.append(b"".join(map(self.chunks.__getitem__, text[at:end].split(" "))))
+            at = end
+        return b"".join(parts)
 
 
 def _tokenizer(path: str) -> ChunkTokenizer:
@@ -101,14 +109,14 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "word_bpe_49k.json", capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
-    """``id_col, piece, start, length, ids_crc32`` and, ``with_ids``, ``ids`` (array of long).
+    """``id_col, piece, start, length, ids_crc32`` and, ``with_ids``, ``ids`` (array of int).
 
     A document's ids are those of its text followed by id 0 (null or empty: that id alone).
     Only longer ones are cut, into pieces of ``capacity`` and a rest.  Every row is a
     document; rows that repeat an id repeat its pieces.
     """
     fields = [T.StructField(id_col, df.schema[id_col].dataType), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]
-    out = T.StructType([*fields, *[T.StructField("ids", T.ArrayType(T.LongType()))] * with_ids])
+    out = T.StructType([*fields, *[T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids])
     schema = to_arrow_schema(out)
     end = int(END_ID).to_bytes(4, "little")
 
@@ -121,7 +129,7 @@ def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
                         cut = ids[start : start + 4 * capacity]
                         row = (i, piece, start // 4, len(cut) // 4, zlib.crc32(cut))
-                        yield (*row, np.frombuffer(cut, "<u4").tolist()) if with_ids else row
+                        yield (*row, np.frombuffer(cut, "<i4")) if with_ids else row
 
     return df.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(lambda batches: record_batches(rows(batches), schema, most=2048 if with_ids else 16384), out)
 
@@ -148,7 +156,7 @@ class OpenBins:
 
     def place(self, length: int) -> tuple[int, int]:
         """(bin, offset)."""
-        if not 0 < length <= self.capacity:
+        if length is None or not 0 < length <= self.capacity:
             raise ValueError(f"a piece of {length} doesn't fit {self.capacity}")
         roomy = self.bits >> length
         if roomy:
@@ -170,12 +178,17 @@ class OpenBins:
 def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY, open_bins: int = OPEN_BINS, tasks: int | None = None) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset`` (clashing columns are replaced).
 
-    Each task packs its share of the pieces by itself: best fit over at most ``open_bins``
-    open bins, in the order in which they come.  Sequence ids are the task's number times
-    2^40 plus the bin's.  A task holds its open bins and one Arrow batch.  Lengths must be 1 to
-    ``capacity`` (else the job ends with a ValueError); an empty table gives an empty one.
+    ``tasks`` tasks (by default as many as the sum of all lengths asks for, ``TOKENS_A_TASK`` each)
+    pack a share of the pieces each: best fit over at most ``open_bins`` open bins, in the order
+    of all columns that aren't nested.  A task that is run again after an executor is lost
+    therefore makes the same layout.  Sequence ids are the task's number times 2^40 plus the
+    bin's.  A task holds its open bins and one Arrow batch.  Lengths must be 1 to ``capacity``: a
+    null or any other length ends the job with a ValueError.  Repeated rows are packed each;
+    an empty table gives an empty one.
     """
     pieces = pieces.drop("sequence_id", "offset")
+    if tasks is None:
+        tasks = max(1, min(100_000, -(-(pieces.agg(F.sum(length_col)).first()[0] or 0) // TOKENS_A_TASK)))
     out = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     schema = to_arrow_schema(out)
 
@@ -189,24 +202,14 @@ def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY
             ids, offsets = (np.array(x, np.int64) for x in (zip(*placed) if placed else ((), ())))
             yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(b.columns, schema)), pa.array(ids + first), pa.array(offsets)], schema=schema)
 
-    return (pieces.repartition(tasks) if tasks else pieces).mapInArrow(run, out)
+    order = [F.col(f"`{f.name}`") for f in pieces.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))]
+    return pieces.repartition(tasks).sortWithinPartitions(*order).mapInArrow(run, out)
 
 
-def pack_tasks(df: DataFrame) -> int | None:
-    """Packing tasks for the pieces of ``df``, from the sizes of the files (or kept tables) it reads.
-
-    Fewer tasks leave fewer part-filled last bins; each still packs by streaming.  None if a
-    size isn't known: then every task packs the pieces it has made."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    if any(n >= 1 << 60 for n in sizes):
-        return None
-    return max(1, min(100_000, -(-sum(sizes) // INPUT_A_TASK)))
-
-
-def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "word_bpe_49k.json", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """``token_pieces`` of every row of ``df``, packed."""
-    return pack(token_pieces(df, id_col, text_col, name, capacity, with_ids), capacity=capacity, tasks=pack_tasks(df))
+def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "word_bpe_49k.json", capacity: int = CAPACITY, with_ids: bool = False, tasks: int | None = None) -> DataFrame:
+    """``token_pieces`` of every row of ``df``, packed.  Pieces are written once, so texts are tokenized once."""
+    pieces, _ = write_shared(token_pieces(df, id_col, text_col, name, capacity, with_ids), "pieces")
+    return pack(pieces, capacity=capacity, tasks=tasks)
 
 
 def op5_packing(spark, sf_dir) -> DataFrame:

@@ -107,3 +107,26 @@ def test_edge_cases(empty, clashing, docs):
     assert key(packing.pack_documents(docs.union(docs))) == sorted(2 * key(packing.pack_documents(docs)))
     clash = packing.token_pieces(docs, with_ids=False).selectExpr("*", "'x' AS sequence_id", "'y' AS offset")
     assert packing.pack(clash).columns.count("offset") == 1
+
+
+def test_a_task_that_is_run_again_makes_the_same_layout(docs):
+    """Whatever the order in which pieces arrive."""
+    pieces = packing.token_pieces(docs, capacity=64, with_ids=False).cache()
+    layout = lambda df: sorted((r["doc_id"], r["piece"], r["sequence_id"], r["offset"]) for r in df.collect())
+    first = layout(packing.pack(pieces.coalesce(1), capacity=64, tasks=1))
+    assert first == layout(packing.pack(pieces.repartition(5, "length").coalesce(1), capacity=64, tasks=1))
+    assert len({r["sequence_id"] >> 40 for r in packing.pack(pieces, capacity=64, tasks=3).collect()}) == 3
+
+
+def test_lengths_must_fit(spark):
+    for length in (None, 0, 65):
+        with pytest.raises(Exception, match="doesn't fit"):
+            packing.pack(spark.createDataFrame([(1, length)], "doc_id long, length long"), capacity=64).collect()
+
+
+def test_long_texts_are_split_in_slices(monkeypatch, rows):
+    t = packing._tokenizer(packing.tokenizer_path())
+    whole = [t.encode(r[1] or "") for r in rows]
+    for size in (1, 10):
+        monkeypatch.setattr(packing, "SLICE", size)
+        assert [t.encode(r[1] or "") for r in rows] == whole
