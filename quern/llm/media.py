@@ -17,13 +17,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._shared import documents, record_batches, utf8
+from ._shared import documents, record_batches, utf8, write_shared
 
 #: Samples in a row of the picture; also what payloads are padded to a multiple of.
 WIDTH = 64
 #: The eight bytes that open a PNG file (a fixed value of the format).
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HASH_SIDE, HASH_GRID = 8, 32
+#: Rows that are filtered at a time; channels of the colour types (fixed values of the format).
+ROWS_AT_ONCE, CHANNELS = 1 << 14, {0: 1, 2: 3, 4: 2, 6: 4}
 
 
 def _chunk(kind: bytes, body: bytes) -> bytes:
@@ -34,32 +36,47 @@ def encode_png(payload: bytes, level: int = 1) -> bytes:
     """A PNG of width 64 whose samples are ``payload`` (a positive multiple of 64 bytes).
 
     Each row takes the filter of none, sub and up with the least sum of absolute
-    differences, ties to the first.
+    differences, ties to the first.  Some thousand rows are filtered at a time.
     """
-    rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
-    sub = rows.copy()
-    sub[:, 1:] -= rows[:, :-1]
-    up = rows.copy()
-    up[1:] -= rows[:-1]
-    made = np.stack([rows, sub, up])
-    cost = np.abs(made.view(np.int8).astype(np.int16)).sum(axis=2)
-    kind = cost.argmin(axis=0)
-    body = np.empty((len(rows), WIDTH + 1), np.uint8)
-    body[:, 0] = kind
-    body[:, 1:] = made[kind, np.arange(len(rows))]
-    head = struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)
-    return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(body.tobytes(), level)) + _chunk(b"IEND", b"")
-
-
-def unfilter(kind: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """The samples of filtered rows of one byte a pixel (all five filters)."""
+    every = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
+    packer, packed = zlib.compressobj(level), []
+    for at in range(0, len(every), ROWS_AT_ONCE):
+        rows = every[at : at + ROWS_AT_ONCE]
+        made = np.stack([rows, rows, rows])
+        made[1, :, 1:] -= rows[:, :-1]
+        made[2, 1:] -= rows[:-1]
+        if at:
+            made[2, 0] -= every[at - 1]
+        cost = np.abs(made.view(np.int8).astype(np.int16)).sum(axis=2)
+        kind = cost.argmin(axis=0)
+        body = np.empty((len(rows), WIDTH + 1), np.uint8)
+        body[:, 0] = kind
+        body[:, 1:] = made[kind, np.arange(len(rows))]
+        packed.append(packer.compress(body.tobytes()))
+    head = struct.pack(">IIBBBBB", WIDTH, len(every), 8, 0, 0, 0, 0)
+    return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", b"".join([*packed, packer.flush()])) + _chunk(b"IEND", b"")
+
+
+def unfilter(kind: np.ndarray, raw: np.ndarray, channels: int = 1) -> np.ndarray:
+    """The bytes of filtered rows of ``channels`` bytes a pixel (all five filters)."""
     if (kind > 4).any():
         raise ValueError("unknown PNG row filter")
-    if (kind > 2).any():
-        return _unfilter_by_row(kind, raw)
+    out = np.empty_like(raw)
+    for at in range(0, len(raw), ROWS_AT_ONCE):
+        some, rows = kind[at : at + ROWS_AT_ONCE], raw[at : at + ROWS_AT_ONCE]
+        if at:  # the row above, undone already
+            some, rows = np.concatenate([[0], some]), np.concatenate([out[at - 1 : at], rows])
+        done = (_unfilter_by_diagonal if (some > 2).any() else _unfilter_by_filter)(some, rows, channels)
+        out[at : at + ROWS_AT_ONCE] = done[1:] if at else done
+    return out
+
+
+def _unfilter_by_filter(kind: np.ndarray, raw: np.ndarray, channels: int) -> np.ndarray:
+    """Rows of no filter, then of sub, then of up, each at once."""
     out = raw.copy()
     sub = kind == 1
-    out[sub] = np.cumsum(raw[sub], axis=1, dtype=np.uint8)
+    if sub.any():
+        out[sub] = np.cumsum(raw[sub].reshape(int(sub.sum()), -1, channels), axis=1, dtype=np.uint8).reshape(-1, raw.shape[1])
     up = kind == 2
     if up.any():
         # An up row is the nearest row above that is no up row, plus the sum of the up rows since.
@@ -71,30 +88,25 @@ def unfilter(kind: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return out
 
 
-def _unfilter_by_row(kind: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(raw) + 1, raw.shape[1] + 1), np.int64)
-    for y, (k, line) in enumerate(zip(kind.tolist(), raw.astype(np.int64)), 1):
-        above, row = out[y - 1], out[y]
-        if k == 0:
-            row[1:] = line
-        elif k == 1:
-            row[1:] = np.cumsum(line) & 255
-        elif k == 2:
-            row[1:] = (line + above[1:]) & 255
-        else:
-            for x in range(1, len(row)):
-                a, b, c = int(row[x - 1]), int(above[x]), int(above[x - 1])
-                if k == 3:
-                    guess = (a + b) // 2
-                else:
-                    p = a + b - c
-                    guess = min(((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c)))[2]
-                row[x] = (int(line[x - 1]) + guess) & 255
-    return out[1:, 1:].astype(np.uint8)
+def _unfilter_by_diagonal(kind: np.ndarray, raw: np.ndarray, channels: int) -> np.ndarray:
+    """Pixels of a diagonal depend on earlier diagonals only, so each is undone at once."""
+    h, w = len(raw), raw.shape[1] // channels
+    coded, out = raw.reshape(h, w, channels), np.zeros((h + 1, w + 1, channels), np.int16)
+    for s in range(h + w - 1):
+        y = np.arange(max(0, s - w + 1), min(h, s + 1))
+        x = s - y
+        left, above, corner = out[y + 1, x], out[y, x + 1], out[y, x]
+        p = left + above - corner
+        by = np.stack([np.abs(p - left), np.abs(p - above), np.abs(p - corner)]).argmin(axis=0)  # ties to the first
+        nearest = np.choose(by, [left, above, corner])
+        guess = np.choose(kind[y][:, None], [np.zeros_like(left), left, above, (left + above) // 2, nearest])
+        out[y + 1, x + 1] = (coded[y, x] + guess) & 255
+    return out[1:, 1:].astype(np.uint8).reshape(h, -1)
 
 
 def decode_png(blob: bytes) -> np.ndarray:
-    """The samples of an 8-bit greyscale PNG; ValueError if a checksum, a length or the form is wrong."""
+    """The samples of a PNG of 8 bits a sample, without palette or interlacing: rows of pixels, and of
+    channels where there are several.  ValueError if a checksum, a length or the form is wrong."""
     if blob[:8] != SIGNATURE:
         raise ValueError("no PNG signature")
     at, parts, shape, ended = 8, [], None, False
@@ -108,24 +120,32 @@ def decode_png(blob: bytes) -> np.ndarray:
         if struct.unpack_from(">I", blob, at + 8 + n)[0] != zlib.crc32(body, zlib.crc32(kind)):
             raise ValueError(f"the checksum of chunk {kind!r} is wrong")
         if kind == b"IHDR":
+            if n != 13:
+                raise ValueError("IHDR of a wrong length")
             w, h, depth, colour, packing, filtering, lace = struct.unpack(">IIBBBBB", body)
-            if (depth, colour, packing, filtering, lace) != (8, 0, 0, 0, 0):
-                raise ValueError("not an 8-bit greyscale PNG without interlacing")
-            shape = (h, w)
+            if (depth, packing, filtering, lace) != (8, 0, 0, 0) or colour not in CHANNELS or not w or not h:
+                raise ValueError("not a PNG of 8 bits a sample without palette or interlacing")
+            shape = (h, w, CHANNELS[colour])
         elif kind == b"IDAT":
             parts.append(body)
         ended = kind == b"IEND"
         at += 12 + n
     if shape is None or not ended:
         raise ValueError("a PNG without IHDR or IEND")
+    h, w, channels = shape
+    size = h * (w * channels + 1)
     try:
-        data = zlib.decompress(b"".join(parts))
+        # No more than IHDR promises is unpacked, whatever the stream holds.
+        packer = zlib.decompressobj()
+        data = packer.decompress(b"".join(parts), size)
+        rest = packer.decompress(packer.unconsumed_tail, 1) if len(data) == size and not packer.eof else b""
     except zlib.error as e:
         raise ValueError(f"PNG data: {e}") from e
-    if len(data) != shape[0] * (shape[1] + 1):
+    if len(data) != size or rest or not packer.eof:
         raise ValueError("PNG data of a wrong length")
-    rows = np.frombuffer(data, np.uint8).reshape(shape[0], shape[1] + 1)
-    return unfilter(rows[:, 0], rows[:, 1:])
+    rows = np.frombuffer(data, np.uint8).reshape(h, w * channels + 1)
+    samples = unfilter(rows[:, 0], rows[:, 1:], channels)
+    return samples if channels == 1 else samples.reshape(h, w, channels)
 
 
 @cache
@@ -136,17 +156,16 @@ def _cosines() -> np.ndarray:
 
 def cosine_hash(samples: np.ndarray) -> str:
     """16 hex digits: which of the 8 x 8 lowest frequencies of the picture, shrunk to 32 x 32 by
-    area means, exceed their median (the constant term is left out of the median)."""
-    h, w = samples.shape
-    grid = samples.astype(np.float64)
+    area means, exceed their median (the constant term is left out of the median).  Of several channels
+    the mean counts."""
+    grid = samples if samples.ndim == 2 else samples.mean(axis=2)
+    h, w = grid.shape
     for axis, n in ((0, h), (1, w)):
         if n >= HASH_GRID:
             edges = np.arange(HASH_GRID) * n // HASH_GRID
-            sums = np.add.reduceat(grid, edges, axis=axis)
-            count = np.diff(np.append(edges, n)).astype(np.float64)
-            grid = sums / (count[:, None] if axis == 0 else count[None, :])
+            grid = np.stack([part.mean(axis=axis, dtype=np.float64) for part in np.split(grid, edges[1:], axis=axis)], axis=axis)
         else:
-            grid = np.take(grid, np.arange(HASH_GRID) * n // HASH_GRID, axis=axis)
+            grid = np.take(grid, np.arange(HASH_GRID) * n // HASH_GRID, axis=axis).astype(np.float64)
     c = _cosines()
     low = np.round(c @ grid @ c.T, 6).ravel()
     bits = low > np.median(low[1:])
@@ -161,7 +180,7 @@ def payload_of(text: bytes | None) -> bytes:
 
 def _described(blob: bytes) -> tuple:
     samples = decode_png(blob)
-    data = samples.tobytes()
+    data = memoryview(np.ascontiguousarray(samples)).cast("B")
     return len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-WIDTH:]), len(blob), hashlib.sha256(blob).hexdigest(), cosine_hash(samples)
 
 
@@ -178,13 +197,13 @@ ROWS = 256
 
 
 def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", level: int = 1) -> DataFrame:
-    """``id_col``, ``n_bytes`` (without padding), the binary column ``media``, and what is read back from it.
+    """``id_col``, ``n_bytes`` (without padding) and the binary column ``media``, one picture a row.
 
     Null and empty texts become 64 zero bytes.  Rows are independent: repeated rows
     give repeated results, an empty table gives an empty one, other columns are not
     read.  No shuffle; a task holds one Arrow batch and a few MB of pictures at a time.
     """
-    out = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType()), *_FEATURES])
+    out = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
     schema = to_arrow_schema(out)
 
     def rows(batches):
@@ -192,8 +211,7 @@ def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for at in range(0, b.num_rows, ROWS):
                 part = b.slice(at, ROWS)
                 for i, t in zip(part.column(0).to_pylist(), utf8(part.column(1))):
-                    blob = encode_png(payload_of(t), level)
-                    yield i, len(t or b""), blob, *_described(blob)
+                    yield i, len(t or b""), encode_png(payload_of(t), level)
 
     def run(batches):
         yield from record_batches(rows(batches), schema, most=ROWS, weight=lambda r: len(r[2]), most_weight=4 << 20)
@@ -201,25 +219,27 @@ def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return df.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, out)
 
 
-def read_media(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """``id_col`` and the features of a stored binary column of pictures, with all checksum tests.
+def read_media(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id_col``, the columns ``keep``, and the features of a stored binary column of pictures, with all checksum tests.
 
     A damaged picture ends the job with a ValueError, as a stored payload that cannot be
     read back must not pass silently; a null one gives nulls.
     """
-    out = T.StructType([T.StructField(id_col, media.schema[id_col].dataType), *_FEATURES])
+    first = [id_col, *keep]
+    out = T.StructType([*(T.StructField(c, media.schema[c].dataType) for c in first), *_FEATURES])
     schema = to_arrow_schema(out)
 
     def rows(batches):
         for b in batches:
             for at in range(0, b.num_rows, ROWS):
-                part = b.slice(at, ROWS)
-                for i, blob in zip(*(c.to_pylist() for c in part.columns)):
-                    yield i, *((None,) * len(_FEATURES) if blob is None else _described(blob))
+                *values, blobs = (c.to_pylist() for c in b.slice(at, ROWS).columns)
+                for *row, blob in zip(*values, blobs):
+                    yield *row, *((None,) * len(_FEATURES) if blob is None else _described(blob))
 
-    return media.select(F.col(id_col), F.col(media_col).alias("media")).mapInArrow(lambda batches: record_batches(rows(batches), schema), out)
+    return media.select(*[F.col(c) for c in first], F.col(media_col).alias("media")).mapInArrow(lambda batches: record_batches(rows(batches), schema), out)
 
 
 def op8_media_columns(spark, sf_dir) -> DataFrame:
-    """The digests; the pictures themselves are left out of the result."""
-    return media_columns(documents(spark, sf_dir)).drop("media")
+    """The digests of what the stored column gives when it is read back; the pictures themselves are left out of the result."""
+    stored, _ = write_shared(media_columns(documents(spark, sf_dir)), "media")
+    return read_media(stored, keep=("n_bytes",))
