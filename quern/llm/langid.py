@@ -20,8 +20,9 @@ from ._shared import crc32_of_id, documents, utf8
 
 #: Bytes in a window, size of a byte's embedding, filter widths, filters of each width.
 WINDOW, EMBED, WIDTHS, FILTERS = 256, 8, (2, 3, 4, 5), 12
-#: Bounds of the training sample: documents of each language, and languages (the most frequent ones).
-TRAIN_DOCUMENTS, MAX_LANGUAGES = 800, 200
+#: Bounds of the training sample: documents of each language, documents in all (of many languages each then has
+#: fewer, but one at least), and windows of a document (its first and others at hashed places).
+TRAIN_DOCUMENTS, TRAIN_TOTAL, TRAIN_WINDOWS = 800, 160_000, 2
 UNDETERMINED = "und"
 
 
@@ -113,32 +114,34 @@ def train(windows: np.ndarray, labels: np.ndarray, classes: list[str], epochs: i
     return net
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = TRAIN_DOCUMENTS, languages: int = MAX_LANGUAGES) -> ByteNetwork | None:
-    """A network from at most ``most`` documents of each of the ``languages`` most frequent languages.
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = TRAIN_DOCUMENTS, total: int = TRAIN_TOTAL, windows: int = TRAIN_WINDOWS) -> ByteNetwork | None:
+    """A network of every language, from at most ``most`` documents of each and about ``total`` in all.
 
     Only rows with a language and a text take part whose id's crc32 modulo 5 is not 0; of
-    each the first window and one at a hashed place.  None if there is no such row.
+    each the first window and ``windows - 1`` at hashed places.  None if there is no such row.
     """
-    usable = df.where(F.col(lang_col).isNotNull() & (crc32_of_id(id_col) % 5 != 0)).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"))
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
+    spark = df.sparkSession
+    usable = df.where(F.col(lang_col).isNotNull() & (F.octet_length(F.col(text_col).cast("string")) > 0) & (crc32_of_id(id_col) % 5 != 0)).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"))
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # a row a language: the classes
     if not counts:
         return None
     classes = sorted(counts)
-    # By the counts, a share of each language's ids by hash that holds twice the rows wanted:
-    # what is ranked doesn't grow with the table.
-    share = F.element_at(F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, min(1.0, 2 * most / n))]), F.col("lang"))
-    likely = usable.where(F.col("lang").isin(classes)).where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1_000_000_007)) < share * 1_000_000_007)
+    most = max(1, min(most, total // len(classes)))
+    # By the counts, a share of each language's ids by hash that holds twice the rows wanted (or
+    # 64 more): what is ranked doesn't grow with the table.
+    shares = F.broadcast(spark.createDataFrame([(c, min(1.0, (2 * most + 64) / n)) for c, n in counts.items()], "lang string, share double"))
+    likely = usable.join(shares, "lang").where(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(1_000_000_007)) < F.col("share") * 1_000_000_007)
     ranked = likely.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")))
     sample = ranked.where(F.col("rank") <= most).select("id", "lang")
-    # At most ``most`` times ``languages`` rows of an id and a language.
+    # At most ``total`` rows, or one a language, of an id and a language.
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text")).where(F.octet_length("text") > 0).join(F.broadcast(sample), "id")
-    rows = texts.select("id", "lang", F.substring("text", 1, WINDOW).alias("first"), F.expr(f"substring(text, 1 + cast(pmod(xxhash64(id, 5), greatest(1, octet_length(text) - {WINDOW})) as int), {WINDOW})").alias("other")).toLocalIterator(prefetchPartitions=True)
-    held = sorted((str(r["id"]), r["lang"], bytes(r["first"]), bytes(r["other"])) for r in rows)
+    place = lambda k: f"1 + cast(pmod(xxhash64(id, {4 + k}), greatest(1, octet_length(text) - {WINDOW})) as int)" if k else "1"
+    rows = texts.select("id", "lang", F.array(*[F.expr(f"substring(text, {place(k)}, {WINDOW})") for k in range(windows)]).alias("windows")).toLocalIterator(prefetchPartitions=True)
+    held = sorted((str(r["id"]), r["lang"], *map(bytes, r["windows"])) for r in rows)
     if not held:
         return None
-    windows = np.concatenate([windows_of(w) for r in held for w in r[2:]])
     number = {c: i for i, c in enumerate(classes)}
-    return train(windows, np.array([number[r[1]] for r in held for _ in r[2:]]), classes)
+    return train(np.concatenate([windows_of(w) for r in held for w in r[2:]]), np.array([number[r[1]] for r in held for _ in r[2:]]), classes)
 
 
 def predict(df: DataFrame, net: ByteNetwork | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,7 +153,7 @@ def predict(df: DataFrame, net: ByteNetwork | None, id_col: str = "doc_id", text
     """
     out = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     schema = to_arrow_schema(out)
-    shared = df.sparkSession.sparkContext.broadcast(net)  # some 20 KB, by the bound of the languages
+    shared = df.sparkSession.sparkContext.broadcast(net)  # some 20 KB, and 200 bytes a language
 
     def distributions(texts: list[bytes]) -> np.ndarray:
         """Windows of many texts go through the network together, about 2 MB at a time."""

@@ -70,3 +70,11 @@ def test_edge_cases(spark, docs, empty, clashing):
     net = langid.fit(docs)
     assert sorted(2 * key(langid.predict(docs, net))) == key(langid.predict(docs.union(docs), net))
     assert key(langid.predict(docs.drop("lang", "source"), net)) == key(langid.predict(docs, net))
+
+
+def test_every_language_is_learnt(spark):
+    """More languages than documents a language, and a bound on all documents together."""
+    rows = [(10 * k + i, f"{chr(0x4E00 + k)} " * 30, f"l{k:03}") for k in range(230) for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = langid.fit(df, total=460, windows=1)
+    assert net.classes == [f"l{k:03}" for k in range(230)] and net.u.shape[1] == 230
