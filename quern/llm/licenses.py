@@ -29,7 +29,11 @@ MIN_COVERAGE = 0.8
 #: Scores of the alignment.
 MATCH, MISMATCH, GAP = 2, -1, -1
 
-#: Opening sentences of public licences, and notices (fixed values: their public wording).
+#: Bytes before and after a slice of a long text that are looked at with it: far more than a match spans.
+OVERLAP = 1 << 16
+
+#: Opening sentences of public licences (their own wording), and short notices in which authors name a
+#: licence (``*-notice``: common forms of such lines, not the licences' own text).  Fixed values.
 TEMPLATES = {
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "bsd-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
@@ -149,6 +153,31 @@ def _regions(places: np.ndarray, doc: np.ndarray, least: int, reach: int) -> lis
     return list(zip(first[near].tolist(), last[near].tolist()))
 
 
+def matches_of_long(index: TemplateIndex, text: bytes, band: int = BAND, min_coverage: float = MIN_COVERAGE) -> list[tuple[int, int, int, int, int]]:
+    """As ``matches_of`` for one long text, slice by slice, each with what stands before and after it;
+    a match belongs to the slice in which it begins."""
+    kept: list[tuple[int, int, int, int, int]] = []
+    at = 0
+    while at < len(text):
+        end = tokens.cut_at(text, at + tokens.SLICE)
+        begin = tokens.cut_at(text, at - OVERLAP) if at > OVERLAP else 0
+        stop = tokens.cut_at(text, end + OVERLAP)
+        found = [(0, template, n, begin + i, begin + j) for _, template, n, i, j in matches_of(index, [text[begin:stop]], band, min_coverage)]
+        kept += [m for m in found if at <= m[3] < end]
+        at = end
+    return kept
+
+
+def code_points(text: bytes, places: list[int]) -> dict[int, int]:
+    """The number of code points before each of the byte ``places``."""
+    found, count, before = {}, 0, 0
+    for p in sorted(set(places)):
+        part = np.frombuffer(text, np.uint8, p - before, before)
+        count += int(np.count_nonzero((part & 0xC0) != 0x80))
+        found[p], before = count, p
+    return found
+
+
 def matches_of(index: TemplateIndex, texts: list[bytes], band: int = BAND, min_coverage: float = MIN_COVERAGE) -> list[tuple[int, int, int, int, int]]:
     """``(text, template, matched words, first byte, last byte + 1)`` for the matches in ``texts``."""
     t = tokens.Tokens(texts, marks=False)
@@ -213,8 +242,8 @@ def scan(df: DataFrame, templates: dict[str, str] | None = None, id_col: str = "
     share of the template's words that match in order; a match within one of greater
     coverage is left out.  Words are runs of letters or of
     digits, A-Z lower-cased.  A text may match several templates, and one template at several places.
-    Null, empty and unmatched texts give no row; repeated rows repeat theirs; other columns
-    are not read.  No shuffle; the index of the templates, a few KB, goes to every task.
+    Null, empty and unmatched texts give no row; texts of many MB are scanned slice by slice;
+    repeated rows repeat theirs; other columns are not read.  No shuffle; the index of the templates, a few KB, goes to every task.
     """
     index = TemplateIndex.build(TEMPLATES if templates is None else templates)
     out = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("license", T.StringType()), T.StructField("begin", T.LongType()), T.StructField("end", T.LongType()), T.StructField("matched_words", T.IntegerType()), T.StructField("coverage", T.DoubleType())])
@@ -225,9 +254,14 @@ def scan(df: DataFrame, templates: dict[str, str] | None = None, id_col: str = "
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 for ids, texts in tokens.chunks(part.column(0).to_pylist(), utf8(part.column(1))):
-                    for doc, template, n, begin, end in matches_of(index, texts, band, min_coverage):
-                        start = len(texts[doc][:begin].decode("utf-8", "replace"))
-                        yield ids[doc], index.names[template], start, start + len(texts[doc][begin:end].decode("utf-8", "replace")), n, n / len(index.words[template])
+                    long = [i for i, t in enumerate(texts) if len(t) > tokens.SLICE]
+                    found = matches_of(index, [b"" if i in long else t for i, t in enumerate(texts)], band, min_coverage)
+                    found += [(i, *m[1:]) for i in long for m in matches_of_long(index, texts[i], band, min_coverage)]
+                    for doc in sorted({m[0] for m in found}):
+                        mine = [m for m in found if m[0] == doc]
+                        place = code_points(texts[doc], [p for m in mine for p in m[3:]])
+                        for _, template, n, begin, end in mine:
+                            yield ids[doc], index.names[template], place[begin], place[end], n, n / len(index.words[template])
 
     return df.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") > 0).mapInArrow(lambda batches: record_batches(rows(batches), schema), out)
 

@@ -22,32 +22,58 @@ TRAIN_DOCUMENTS = 6000
 THRESHOLD = 0.7
 
 
+def _counts(code, upper, kind, width, doc, buckets: int, n: int, skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """``(doc * buckets + bucket, count)`` of the n-grams that end at token ``skip`` or later."""
+    case = np.where(upper == 0, 0, np.where((upper == width) & (upper > 1), 2, 1))
+    word = tokens.mix(code + case.astype(np.uint64))
+    again = np.zeros(len(word), bool)
+    again[1:] = (code[1:] == code[:-1]) & (doc[1:] == doc[:-1])
+    shape = tokens.mix(np.uint64(1 << 20) + (kind * 6 + case * 2 + again).astype(np.uint64))
+    keys = []
+    for stream, longest in ((word, n), (shape, n + 1)):
+        for k in range(1, longest + 1):
+            gram, at = tokens.grams(stream, doc, k)
+            if skip:
+                gram, at = gram[at + k > skip], at[at + k > skip]
+            keys.append(doc[at] * buckets + (tokens.mix(gram + np.uint64(k)) % np.uint64(buckets)).astype(np.int64))
+    return np.unique(np.concatenate(keys), return_counts=True)
+
+
 def features(texts: list[bytes], buckets: int = BUCKETS, n: int = GRAMS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sparse rows ``(doc, bucket, value)``, sorted by both: hashed 1- to ``n``-grams of words.
 
     A word is a run of letters, digits or marks; its hash has its case (lower, capital,
     upper) beside the lower-cased bytes.  The same n-grams are also taken of the words'
     shapes (class, case, and whether it repeats the word before), which rare words share.
-    Values are 1 + log(count), scaled to length 1 a document.
+    Values are 1 + log(count), scaled to length 1 a document.  Texts longer than a slice
+    are counted slice by slice, with the last words of the one before.
     """
-    t = tokens.Tokens(texts)
-    case = np.where(t.upper == 0, 0, np.where((t.upper == t.end - t.begin) & (t.upper > 1), 2, 1))
-    word = tokens.mix(t.code + case.astype(np.uint64))
-    again = np.zeros(len(word), bool)
-    again[1:] = (t.code[1:] == t.code[:-1]) & (t.doc[1:] == t.doc[:-1])
-    shape = tokens.mix(np.uint64(1 << 20) + (t.kind * 6 + case * 2 + again).astype(np.uint64))
-    keys = []
-    for stream, longest in ((word, n), (shape, n + 1)):
-        for k in range(1, longest + 1):
-            code, at = tokens.grams(stream, t.doc, k)
-            keys.append(t.doc[at] * buckets + (tokens.mix(code + np.uint64(k)) % np.uint64(buckets)).astype(np.int64))
-    key, count = np.unique(np.concatenate(keys), return_counts=True)
+    short = [i for i, t in enumerate(texts) if len(t) <= tokens.SLICE]
+    t = tokens.Tokens([texts[i] for i in short])
+    found = [_counts(t.code, t.upper, t.kind, t.end - t.begin, np.array(short, np.int64)[t.doc], buckets, n)]
+    for i in (i for i, t in enumerate(texts) if len(t) > tokens.SLICE):
+        held, at, parts = None, 0, []
+        while at < len(texts[i]):
+            end = tokens.cut_at(texts[i], at + tokens.SLICE)
+            t = tokens.Tokens([texts[i][at:end]])
+            now = [t.code, t.upper, t.kind, t.end - t.begin]
+            if held:
+                now = [np.concatenate(x) for x in zip(held, now)]
+            parts.append(_counts(*now, np.full(len(now[0]), i), buckets, n, len(held[0]) if held else 0))
+            held, at = [x[-n - 1 :] for x in now], end
+        found.append(_summed(parts))
+    key, count = _summed(found) if len(found) > 1 else found[0]
     doc, bucket = key // buckets, key % buckets
     value = 1 + np.log(count)
     length = np.sqrt(np.bincount(doc, value * value, minlength=len(texts)))
     return doc, bucket, (value / length[doc]).astype(np.float32)
 
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    key, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return key, np.bincount(at, np.concatenate([c for _, c in parts]), minlength=len(key))
+
+
 class FollowTheRegularisedLeader:
     """FTRL-proximal logistic regression with an adaptive rate for each weight, after McMahan et al. (2013)."""
 

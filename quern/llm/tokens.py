@@ -6,6 +6,7 @@ control bytes separate them.  Positions are bytes of the text's UTF-8.
 
 from __future__ import annotations
 
+import re
 from functools import cache
 
 import numpy as np
@@ -13,6 +14,17 @@ import numpy as np
 #: Classes of bytes.
 SPACE, LETTER, DIGIT, MARK = 0, 1, 2, 3
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of a longer text that are looked at together, about.
+SLICE = 1 << 20
+_GAP = re.compile(rb"[\x00-\x20\x7f]")
+
+
+def cut_at(text: bytes, size: int) -> int:
+    """The first place from ``size`` on where a separating byte stands; a word of more than ``SLICE`` bytes is cut."""
+    if size >= len(text):
+        return len(text)
+    gap = _GAP.search(text, size, min(len(text), size + SLICE))
+    return gap.start() if gap else min(len(text), size + SLICE)
 
 
 @cache

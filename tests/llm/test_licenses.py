@@ -116,3 +116,62 @@ def test_edited_short_notices(spark):
         got.setdefault(r["doc_id"], set()).add(r["license"])
     gpl = {"gpl-2.0-notice", "gpl-3.0-notice"}
     assert [t for i, (n, t) in enumerate(want) if not got.get(i, set()) & (gpl if n in gpl else {n})] == []
+
+
+def brute_best(template, text):
+    """``(score, matched words, first, last + 1)`` of a best local alignment, by the whole table with its paths."""
+    best, cells = (0, 0, 0, 0), {}
+    for i, a in enumerate(template):
+        for j, b in enumerate(text):
+            score, n, first = cells.get((i - 1, j - 1), (0, 0, None))
+            if a == b:
+                options = [(score + 2, n + 1, j if first is None else first)]
+            else:
+                options = [(score - 1, n, first)]
+            options += [(c[0] - 1, *c[1:]) for c in (cells.get((i - 1, j)), cells.get((i, j - 1))) if c]
+            top = max(options, key=lambda c: c[0])
+            if top[0] > 0:
+                cells[i, j] = top
+                if a == b and top[0] > best[0]:
+                    best = (*top, j + 1)
+    return best
+
+
+def test_matches_are_those_of_whole_tables(spark, docs, rows):
+    """Every text against every template, without fingerprints or bands: one notice a text at most."""
+    rng, made = random.Random(11), [(r[0], r[1] or "") for r in rows if len(r[1] or "") < 5000]
+    for k, (name, template) in enumerate(sorted(licenses.TEMPLATES.items()) * 3):
+        words = template.split()
+        for _ in range(rng.randint(0, max(1, len(words) // 6))):
+            words[rng.randrange(len(words))] = "zzz"
+        made.append((1000 + k, f"Some text é here\n{' '.join(words)}\nand more after it"))
+    index, want = licenses.TemplateIndex.build(licenses.TEMPLATES), []
+    for i, text in made:
+        data = text.encode()
+        t = tokens.Tokens([data], marks=False)
+        found = []
+        for n, words in enumerate(index.words):
+            _, matched, first, last = brute_best(words.tolist(), t.code.tolist())
+            if matched >= licenses._least(words, licenses.MIN_COVERAGE):
+                begin, end = (len(data[:x].decode()) for x in (int(t.begin[first]), int(t.end[last - 1])))
+                found.append((i, index.names[n], begin, end, matched, matched / len(words)))
+        want += [m for m in found if not any(o[5] > m[5] and o[2] <= m[2] and m[3] <= o[3] for o in found)]
+    got = licenses.scan(spark.createDataFrame(made, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 30
+
+
+def test_long_texts_are_scanned_in_slices(spark, monkeypatch):
+    rng = random.Random(2)
+    parts = [rng.choice(["é noise words of no licence here", *licenses.TEMPLATES.values()]) for _ in range(400)]
+    df = spark.createDataFrame([(1, "\n".join(parts))], "doc_id long, text string")
+    text = "\n".join(parts).encode()
+    index = licenses.TemplateIndex.build(licenses.TEMPLATES)
+    key = lambda found: sorted(m[1:] for m in found)
+    whole = key(licenses.matches_of(index, [text]))
+    assert len(whole) > 200 and len(whole) == licenses.scan(df).count()
+    monkeypatch.setattr(licenses, "OVERLAP", 4000)
+    for size in (500, 3000):
+        monkeypatch.setattr(tokens, "SLICE", size)
+        assert key(licenses.matches_of_long(index, text)) == whole
+    places = [m[3] for m in whole]
+    assert licenses.code_points(text, places) == {p: len(text[:p].decode()) for p in places}

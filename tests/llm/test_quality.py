@@ -75,3 +75,27 @@ def test_edge_cases(docs, labels, empty, clashing):
     assert kept.columns == clashing.columns and {r["doc_id"] for r in kept.collect()} == scored
     twice = Counter(r["doc_id"] for r in quality.keep_good(docs.union(docs), labels).collect())
     assert set(twice.values()) <= {2}
+
+
+def test_long_texts_are_counted_in_slices(monkeypatch, rows):
+    """Features of slices with the words before are those of whole texts."""
+    from quern.llm import tokens
+
+    texts = [(r[1] or "").encode() for r in rows] + [b"", b"one", b"Word WORD word!! " * 300]
+    whole = quality.features(texts)
+    for size in (1, 9, 100):
+        monkeypatch.setattr(tokens, "SLICE", size)
+        monkeypatch.setattr(tokens, "cut_at", lambda text, at: (len(text) if at >= len(text) else next((i for i in range(at, len(text)) if text[i] in b" \n"), len(text))))
+        for x, y in zip(whole, quality.features(texts)):
+            assert np.allclose(x, y)
+
+
+def test_memory_of_a_text_of_64_mb():
+    import tracemalloc
+
+    text = b"Some words of a text that goes on, and 7\n" * ((64 << 20) // 41)
+    tracemalloc.start()
+    quality.features([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400 << 20
