@@ -33,6 +33,8 @@ def _shared_lines(df: DataFrame, id_col: str, text_col: str, min_chars: int, min
         # Two 64-bit hashes with unlike seeds stand for the key: 128 bits.
         .select("id", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
     )
+    # Narrow, and written once: lines are split and hashed once, for the count and for the join.
+    lines, _ = write_shared(lines, "hashes")
     # Counts distinct documents by two aggregates, each with a map-side part, so a line that
     # a third of all documents hold reaches no task as more than one row a map task.
     pairs = lines.groupBy("h1", "h2", "id").agg(F.lit(1).alias("one"))
