@@ -17,6 +17,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ._shared import ASCII_SPACE, ascii_lower, documents, record_batches, utf8, write_shared
 
 MIN_CHARS, MIN_DOCUMENTS = 20, 3
+#: Lines that a task counts and writes the shared ones of, about.
+LINES_A_TASK = 500_000
 
 
 def line_key(line: Column) -> Column:
@@ -41,7 +43,7 @@ def _shared_lines(df: DataFrame, id_col: str, text_col: str, min_chars: int, min
     shared = pairs.groupBy("h1", "h2").agg(F.count("id").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_documents).select("h1", "h2", "keeper")
     # Written, so that the join reads both sides through exchanges of its own: AQE then splits a
     # hot hash, or broadcasts a small list.  Each hash is once in ``shared``: at most one row a line.
-    shared, _ = write_shared(shared, "lines")
+    shared, _ = write_shared(shared.coalesce(max(1, -(-lines.count() // LINES_A_TASK))), "lines")
     drops = lines.join(shared, ["h1", "h2"]).where(F.col("id") != F.col("keeper"))
     return drops.groupBy("id").agg(F.collect_list("pos").alias("drops"))
 

@@ -37,6 +37,8 @@ LEAST_TILE, MOST_TILE, TILES = 1 << 14, 1 << 18, 64
 TASK_PAIRS, HELD_LINKS = 500_000_000, 1 << 20
 #: Links that one task thins out, about.
 THINNED_LINKS = 500_000
+#: Rows of a few numbers that a task writes, about.
+ROWS_A_FILE = 500_000
 #: Bytes of a text whose words are split at a time.
 SLICE = 1 << 20
 _GAP = re.compile(rb"[\t-\r ]")
@@ -231,6 +233,11 @@ def links_within(distinct: DataFrame, radius: int = RADIUS, columns: tuple[str,
     return links
 
 
+def _in_few_files(narrow: DataFrame, source: DataFrame) -> DataFrame:
+    """``narrow``, no longer than the written ``source``, in tasks of ``ROWS_A_FILE`` rows, not one for each shuffle partition."""
+    return narrow.coalesce(max(1, -(-source.count() // ROWS_A_FILE)))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``(id_col, fingerprint, component_id)`` for every row: 16 hex digits, and the smallest id reachable by links.
 
@@ -242,7 +249,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``component_id``.  An empty table gives an empty one; other columns are not read.
     """
     fps, _ = write_shared(fingerprints(df, id_col, text_col, shingle).withColumnRenamed(id_col, "id"), "fingerprints")
-    distinct, _ = write_shared(fps.groupBy("fp").agg(F.min("id").alias("rep")), "distinct")
+    distinct, _ = write_shared(_in_few_files(fps.groupBy("fp").agg(F.min("id").alias("rep")), fps), "distinct")
     named = component_labels(links_within(distinct.where("rep IS NOT NULL"), radius))
     # By fingerprint: each is once on the right, so copies are not multiplied and AQE splits a hot one.
     classes = distinct.join(named, distinct["rep"] == named["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
@@ -336,7 +343,7 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows, _ = write_shared(_described(docs, shingle), "described")
-    nodes, _ = write_shared(rows.groupBy("node").agg(F.min("id").alias("rep"), F.min("fp0").alias("fp0"), F.min("fp1").alias("fp1")), "nodes")
+    nodes, _ = write_shared(_in_few_files(rows.groupBy("node").agg(F.min("id").alias("rep"), F.min("fp0").alias("fp0"), F.min("fp1").alias("fp1")), rows), "nodes")
     links = _thinned(links_within(nodes.where("rep IS NOT NULL").select("fp0", "fp1", F.col("node").alias("rep")), radius, ("fp0", "fp1")))
     named = component_labels(_verified(links, nodes, docs, shingle, similarity))
     classes = nodes.join(named, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
