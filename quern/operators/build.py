@@ -7,6 +7,7 @@ index has ``(k0, file, bucket, rows, positions, bitmap)`` instead.  Null keys ar
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,19 +29,19 @@ def _sorting(columns: list[list]) -> list[Column]:
     return [F.col(f"k{i}").asc_nulls_last() if ascending else F.col(f"k{i}").desc_nulls_first() for i, (_, ascending) in enumerate(columns)]
 
 
-def btree(rows: DataFrame, columns: list[list]) -> DataFrame:
+def btree(rows: DataFrame, columns: list[list]) -> tuple[DataFrame, list[Column]]:
+    """Entries, and the order that their files have."""
     keys = [f"k{i}" for i in range(len(columns))]
     entries = rows.groupBy(*keys, "file").agg(F.count("*").alias("rows"), F.array_sort(F.collect_list("row")).alias("row_ids"))
-    order = [*_sorting(columns), F.col("file")]
-    return entries.repartitionByRange(*order).sortWithinPartitions(*order)
+    return entries, [*_sorting(columns), F.col("file")]
 
 
 #: Rows of a bucket up to which positions (2 bytes each) are smaller than its bitmap of 4096 bytes.
 SPARSE = 2048
 
 
-def bitmap(rows: DataFrame, columns: list[list]) -> DataFrame:
-    """Row r is position r modulo 32768 of bucket r / 32768 (rounded down; buckets count from 1).
+def bitmap(rows: DataFrame, columns: list[list]) -> tuple[DataFrame, list[Column]]:
+    """Entries, and the order that their files have.  Row r is position r modulo 32768 of bucket r / 32768 (rounded down; buckets count from 1).
 
     A key's rows within a bucket are a sorted list of ``positions`` if they are few, else a
     ``bitmap``.  The lists are gathered once; only those of dense buckets are dealt out again.
@@ -51,8 +52,26 @@ def bitmap(rows: DataFrame, columns: list[list]) -> DataFrame:
     sparse = listed.where(F.col("rows") <= SPARSE).select("k0", "file", "bucket", "rows", F.sort_array("positions").alias("positions"), F.lit(None).cast("binary").alias("bitmap"))
     dense = listed.where(F.col("rows") > SPARSE).select("k0", "file", "bucket", F.explode("positions").alias("p")).groupBy("k0", "file", "bucket").agg(F.count("*").alias("rows"), F.bitmap_construct_agg(F.col("p").cast("long")).alias("bitmap"))
     entries = sparse.unionByName(dense.select("k0", "file", "bucket", "rows", F.lit(None).cast("array<smallint>").alias("positions"), "bitmap"))
-    order = [*_sorting(columns), F.col("file"), F.col("bucket")]
-    return entries.repartitionByRange(*order).sortWithinPartitions(*order)
+    return entries, [*_sorting(columns), F.col("file"), F.col("bucket")]
 
 
 BUILDERS = {"BTREE": btree, "BITMAP": bitmap}
+#: Entries that a sorted file of an index holds, about.
+ENTRIES_A_FILE = 500_000
+
+
+def write(rows: DataFrame, kind: str, columns: list[list], path: str) -> T.StructType:
+    """Builds an index of ``kind`` over ``rows(k0, ..., file, row)``, sorted by key, at ``path``; its schema.
+
+    What is gathered is kept while it is counted, ranged and written, so rows are gathered once
+    (lost parts are made again); an index that one file holds needs no ranges.
+    """
+    entries, order = BUILDERS[kind](rows, columns)
+    entries = entries.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        parts = max(1, -(-entries.count() // ENTRIES_A_FILE))
+        ranged = entries.repartitionByRange(parts, *order) if parts > 1 else entries.coalesce(1)
+        ranged.sortWithinPartitions(*order).write.parquet(path)
+    finally:
+        entries.unpersist()
+    return entries.schema

@@ -1,7 +1,7 @@
 """Statistics of each indexed file, and what they say about reading it.
 
-Built as aggregates over index entries, a row a file; judged on the driver, which lists
-the files anyway.  MINMAX, BLOOM, SAMPLE and PARTBYVALUE give a share of rows that a read
+Built as aggregates over index entries, a row a file.  Bloom filters and samples are held
+against a predicate where they lie; the driver, which lists the files anyway, decides.  MINMAX, BLOOM, SAMPLE and PARTBYVALUE give a share of rows that a read
 would hit, or that it hits none.
 """
 
@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +30,7 @@ class Options:
     part_num: int = 5
     sample_rate: float = 0.05
     sample_min: int = 24
+    sample_max: int = 1000
     bloom_bits: int = 1 << 20
     bloom_hashes: int = 3
     threshold: float = 0.2
@@ -68,7 +70,7 @@ def build(entries: DataFrame, width: int, options: Options, generation: str) ->
         parts = parts.withColumn("bloom", F.lit(None).cast(empty["bloom"]))
     if "SAMPLE" in options.kinds:
         # A hash in place of a random draw: the same rows on every build.
-        sizes = base.select("file", F.greatest(F.lit(options.sample_rate), F.least(F.lit(1.0), options.sample_min / F.col("rows"))).alias("share"))
+        sizes = base.select("file", F.least(F.greatest(F.lit(options.sample_rate), F.least(F.lit(1.0), options.sample_min / F.col("rows"))), options.sample_max / F.col("rows")).alias("share"))
         drawn = entries.select("file", *keys, F.explode("row_ids").alias("row")).join(sizes, "file").where(F.pmod(F.xxhash64(F.lit(11), "row"), F.lit(1 << 20)) < F.col("share") * (1 << 20))
         parts = parts.join(drawn.groupBy("file").agg(F.collect_list(F.struct(*keys)).alias("sample")), "file", "left")
     else:
@@ -97,14 +99,15 @@ def bloom_places(spark: SparkSession, values: list[tuple], types: list[T.DataTyp
     return [list(r) for r in df.collect()]
 
 
-def bloom_holds(bloom: list, places: list[int]) -> bool:
-    held = {b["bucket"]: b["bitmap"] for b in bloom}
-    for p in places:
+def bloom_may_hold(bloom: Column, places: list[list[int]]) -> Column:
+    """Whether the bits of all ``places`` of one of the keys are set in a manifest's ``bloom``."""
+
+    def held(p: int) -> Column:
         bucket, bit = (p - 1) // 32768 + 1, (p - 1) % 32768
-        data = held.get(bucket)
-        if data is None or not data[bit // 8] >> (bit % 8) & 1:
-            return False
-    return True
+        byte = lambda b: F.conv(F.hex(F.substring(b["bitmap"], bit // 8 + 1, 1)), 16, 10).cast("int")
+        return F.exists(bloom, lambda b: (b["bucket"] == bucket) & (byte(b).bitwiseAND(1 << bit % 8) != 0))
+
+    return reduce(Column.__or__, [reduce(Column.__and__, map(held, key)) for key in places], F.lit(False))
 
 
 def _rows_below(cuts: list, value: Any, inclusive: bool) -> float:
@@ -135,21 +138,22 @@ def coverage_by_cuts(cuts: list, keys: KeySet) -> float:
     return min(1.0, hit / total) if total else 0.0
 
 
-def judge(row: dict, sets: list[KeySet], places: list[list[int]] | None, options: Options) -> tuple[str, float | None]:
+def may_hold(row: dict, sets: list[KeySet]) -> bool:
+    """Whether a file's least and greatest keys leave room for the key sets of the leading columns."""
+    return all(s.may_hold(row[f"min{i}"], row[f"max{i}"], row[f"nulls{i}"]) for i, s in enumerate(sets))
+
+
+def judge(row: dict, sets: list[KeySet], judged: dict, options: Options) -> tuple[str, float | None]:
     """SKIP, USE_INDEX or FULL_SCAN for a file of an index, with the mean share it was judged by.
 
-    ``sets`` are those of the leading key columns in turn; ``places`` the bloom places of
-    all the points that they allow, or None if they allow more than points.
+    ``sets`` are those of the leading key columns in turn; ``judged`` has what the file's Bloom
+    filter (``held``) and sample (``share``) say of them, where they were asked.
     """
-    for i, s in enumerate(sets):
-        if not s.may_hold(row[f"min{i}"], row[f"max{i}"], row[f"nulls{i}"]):
-            return SKIP, None
-    if "BLOOM" in options.kinds and row.get("bloom") and places is not None and not any(bloom_holds(row["bloom"], p) for p in places):
+    if not may_hold(row, sets) or not judged.get("held", True):
         return SKIP, None
     shares = []
-    if "SAMPLE" in options.kinds and row.get("sample"):
-        hits = sum(all(s[f"k{i}"] in keys for i, keys in enumerate(sets)) for s in row["sample"])
-        shares.append(hits / len(row["sample"]))
+    if judged.get("share") is not None:
+        shares.append(judged["share"])
     if "PARTBYVALUE" in options.kinds and row.get("cuts") and not sets[0].null:
         shares.append(coverage_by_cuts(row["cuts"], sets[0]))
     if not shares:

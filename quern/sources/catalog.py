@@ -42,14 +42,19 @@ class TableEntry:
     schema: str
     partition_columns: list[str]
     indexes: dict[str, IndexDef] = field(default_factory=dict)
+    version: int = 0
+
+
+class ChangedElsewhere(RuntimeError):
+    """Another session has changed a table's indexes since this one read them."""
 
 
 class Catalog:
-    """Documents under ``root``, by the table's root paths; the last ones read are remembered."""
+    """Documents under ``root``, by the table's root paths; what was read is remembered until the file changes."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self._held: dict[str, TableEntry | None] = {}
+        self._held: dict[str, tuple[tuple[int, int] | None, TableEntry | None]] = {}
 
     @staticmethod
     def key(roots: list[str] | tuple[str, ...]) -> str:
@@ -61,20 +66,27 @@ class Catalog:
     def folder(self, roots, index: str) -> str:
         return f"{self.root}/{self.key(roots)}/index={index}"
 
+    def _read(self, path: str) -> TableEntry:
+        d = json.loads(files.read_text(self.spark, path))
+        return TableEntry(**d | {"indexes": {n: IndexDef(**i) for n, i in d["indexes"].items()}})
+
     def load(self, roots) -> TableEntry | None:
-        key = self.key(roots)
-        if key not in self._held:
-            path = self._document(roots)
-            entry = None
-            if files.exists(self.spark, path):
-                d = json.loads(files.read_text(self.spark, path))
-                entry = TableEntry(**d | {"indexes": {n: IndexDef(**i) for n, i in d["indexes"].items()}})
-            self._held[key] = entry
-        return self._held[key]
+        key, path = self.key(roots), self._document(roots)
+        stamp = files.stamp(self.spark, path)
+        if key not in self._held or self._held[key][0] != stamp:
+            self._held[key] = stamp, self._read(path) if stamp else None
+        return self._held[key][1]
 
     def save(self, entry: TableEntry) -> None:
-        files.replace_text(self.spark, self._document(entry.roots), json.dumps(asdict(entry), indent=1))
-        self._held[self.key(entry.roots)] = entry
+        """Replaces the document if it still has the version that ``entry`` was read with."""
+        key, path = self.key(entry.roots), self._document(entry.roots)
+        now = self._read(path).version if files.stamp(self.spark, path) else 0
+        if now != entry.version:
+            self._held.pop(key, None)
+            raise ChangedElsewhere(f"the indexes of {entry.name} were changed by another session; repeat the statement")
+        entry.version += 1
+        files.replace_text(self.spark, path, json.dumps(asdict(entry), indent=1))
+        self._held[key] = files.stamp(self.spark, path), entry
 
     def forget(self) -> None:
         """Rereads documents that another session may have changed."""

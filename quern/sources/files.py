@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from urllib.parse import unquote, urlsplit
 
@@ -19,6 +20,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(where)
 
 
+def stamp(spark: SparkSession, path: str) -> tuple[int, int] | None:
+    """Time and size of a file; None if there is none."""
+    where, fs = _fs(spark, path)
+    if not fs.exists(where):
+        return None
+    found = fs.getFileStatus(where)
+    return int(found.getModificationTime()), int(found.getLen())
+
+
 def delete(spark: SparkSession, path: str) -> None:
     where, fs = _fs(spark, path)
     fs.delete(where, True)
@@ -69,9 +79,11 @@ def is_local(path: str) -> bool:
 
 def workspace(spark: SparkSession) -> str:
     """A folder that driver and executors share: ``spark.checkpoint.dir``, or, where that is
-    unset (local runs), a temporary one."""
+    unset in a local run, a temporary one.  On a cluster it must be set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

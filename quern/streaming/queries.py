@@ -1,6 +1,7 @@
 """Structured Streaming over the events table: windows, sessions, deduplication, late data.
 
-Each query streams the table once (``availableNow``) into a memory sink and returns what it holds.
+Each query streams the table once (``availableNow``) into Parquet in the shared folder and returns
+what is there: executors write it, and nothing is gathered on the driver.
 """
 
 from __future__ import annotations
@@ -30,12 +31,19 @@ def _clock(name: str):
 
 
 def _run(df: DataFrame, mode: str) -> DataFrame:
+    """What the stream has written: each batch replaces the one before (complete), or is kept under its number,
+    so a batch that is run again writes the same place."""
     spark = df.sparkSession
-    name = f"qs_{uuid.uuid4().hex[:12]}"
-    at = f"{files.workspace(spark)}/stream-{name}"
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", at).trigger(availableNow=True).start()
+    at = f"{files.workspace(spark)}/stream-{uuid.uuid4().hex[:12]}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/rows/batch={0 if mode == 'complete' else number}")
+
+    q = df.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(f"{at}/rows").select(*[F.col(f"`{c}`") for c in df.columns]) if files.exists(spark, f"{at}/rows") else spark.createDataFrame([], df.schema)
 
 
 def query(name: str, oracle: str):
@@ -68,9 +76,24 @@ def session(spark, sf_dir):
     return _run(e.groupBy(F.session_window("ts", "30 minutes"), "user_id").agg(F.count("*").alias("n")), "complete").select("user_id", _clock("session_window.start"), "n")
 
 
-@query("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
+@query("stream_dedup", "SELECT DISTINCT user_id, event_type, date_trunc('day', ts) AS day FROM events")
 def dedup(spark, sf_dir):
-    return _run(_stream(spark, sf_dir).select("user_id", "event_type").dropDuplicates(), "append")
+    """Once a user, type and day; the watermark lets go of days that are over."""
+    e = _stream(spark, sf_dir).select("user_id", "event_type", F.window("ts", "1 day").alias("day"), "ts").withWatermark("ts", "1 day")
+    return _run(e.dropDuplicates(["user_id", "event_type", "day"]), "append").select("user_id", "event_type", F.col("day.start").cast("timestamp_ntz").alias("day"))
+
+
+@query("stream_late", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
+def late(spark, sf_dir):
+    """Three files in turn: the events; the same ones three years older, which the watermark drops; and one far
+    ahead, which lets all windows of the events go out (append mode)."""
+    source = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"))
+    at = f"{files.workspace(spark)}/late-{uuid.uuid4().hex[:12]}"
+    shifts = ("ts", "ts - INTERVAL 1095 DAYS", "max(ts) + INTERVAL 100 DAYS AS ts")
+    for shift in shifts:
+        source.selectExpr(shift).coalesce(1).write.mode("append").parquet(at)
+    e = spark.readStream.schema("ts timestamp").option("maxFilesPerTrigger", 1).parquet(at).withWatermark("ts", "1 hour")
+    return _run(e.groupBy(F.window("ts", "1 hour")).agg(F.count("*").alias("n")), "append").select(_clock("window.start"), "n")
 
 
 @query("stream_filter", "SELECT event_id, user_id, value FROM events WHERE event_type = 'purchase' AND value > 50")

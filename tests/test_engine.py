@@ -1,5 +1,7 @@
 """Indexed queries against the same queries without an index, on the fixtures of FIXTURES.md."""
 
+import pathlib
+import pickle
 import random
 import uuid
 
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quern.session import Engine
 from quern.sources.cache import PathGate, TableCache
+from quern.sources.catalog import ChangedElsewhere
 
 
 @pytest.fixture
@@ -232,7 +235,7 @@ def test_types_and_nested_columns(engine, spark, tmp_path):
 def test_self_join_subquery_and_shadowed_view(engine, spark, tmp_path):
     t = made(engine, tmp_path, numbers(spark))
     engine.sql(f"CREATE OINDEX i ON {t} (a)")
-    same(engine, f"SELECT x.a FROM {t} x JOIN {t} y ON x.a = y.a WHERE x.a = 5 AND y.a = 5", used=False)
+    same(engine, f"SELECT x.a FROM {t} x JOIN {t} y ON x.a = y.a WHERE x.a = 5 AND y.a = 5")
     same(engine, f"SELECT * FROM (SELECT a, b FROM {t}) WHERE a = 5")
     same(engine, f"SELECT a FROM {t} WHERE a = (SELECT max(id) FROM range(9))", used=False)
     assert spark.table(t).count() == 300  # the view is as it was
@@ -286,3 +289,84 @@ def test_random_predicates(engine, spark, tmp_path):
         text = f"SELECT * FROM {t} WHERE {condition(k % 3)} AND {condition(k % 2)}"
         rows = lambda df: sorted(map(repr, df.collect()))
         assert rows(engine.sql(text)) == rows(spark.sql(text)), text
+
+
+def used_by(engine):
+    return [r["decision"] for r in engine.last_scan_report().where("decision = 'USE_INDEX'").collect()]
+
+
+def test_every_place_that_names_a_table(engine, spark, tmp_path):
+    t = made(engine, tmp_path, numbers(spark))
+    engine.sql(f"CREATE OINDEX i ON {t} (a)")
+    for text in (
+        f"SELECT x.a, y.b FROM {t} x JOIN {t} y ON x.a = y.a WHERE x.a = 5 AND y.a = 5",
+        f"SELECT a FROM {t} WHERE a = 5 UNION ALL SELECT a FROM {t} WHERE a = 250",
+        f"SELECT b FROM {t} WHERE a = 5 AND b IN (SELECT z.b FROM {t} z WHERE z.a = 5)",
+        f"WITH c AS (SELECT * FROM {t} WHERE a = 5), {t}x AS (SELECT 1 AS k) SELECT c.b FROM c JOIN {t} ON c.a = {t}.a, {t}x WHERE {t}.a = 5",
+    ):
+        same(engine, text)
+        assert len(used_by(engine)) == 2, text
+    for text in (f"-- {t} first\nSELECT b FROM {t} WHERE a = 5", f"/* x */ SELECT '{t}' AS s, a FROM `{t}` WHERE a = 5", f"SELECT {t}.a FROM {t} WHERE {t}.a = 5"):
+        same(engine, text)
+        assert len(used_by(engine)) == 1, text
+    same(engine, f"WITH {t} AS (SELECT 5 AS a) SELECT * FROM {t} WHERE a = 5", used=False)
+
+
+def test_qualified_names_and_other_statements(engine, spark, tmp_path):
+    spark.sql("CREATE DATABASE IF NOT EXISTS qdb")
+    spark.sql("DROP TABLE IF EXISTS qdb.t")
+    numbers(spark).repartition(2).write.format("parquet").saveAsTable("qdb.t")
+    engine.sql("CREATE OINDEX i ON qdb.t (a)")
+    for text in ("SELECT b FROM qdb.t WHERE a = 5", "SELECT t.b FROM `qdb`.`t` WHERE t.a = 5", "SELECT b FROM spark_catalog.qdb.t AS x WHERE x.a = 5"):
+        same(engine, text)
+        assert len(used_by(engine)) == 1, text
+    plan = engine.sql("EXPLAIN FORMATTED SELECT b FROM qdb.t WHERE a = 5").first()[0]
+    assert "MapInArrow" in plan
+    for text in ("CREATE TABLE qdb.made USING parquet AS SELECT a, b FROM qdb.t WHERE a = 5", "INSERT INTO qdb.made SELECT a, b FROM qdb.t WHERE a = 7"):
+        spark.sql("DROP TABLE IF EXISTS qdb.made") if text.startswith("CREATE") else None
+        engine.sql(text)
+        assert len(used_by(engine)) == 1, text
+    assert sorted(r["a"] for r in spark.table("qdb.made").collect()) == [5, 7]
+    with pytest.raises(AnalysisException):
+        engine.sql("SELECT no_such_column FROM qdb.t")
+    spark.sql("DROP DATABASE qdb CASCADE")
+
+
+def test_refresh_forgets_files_that_are_gone(engine, spark, tmp_path):
+    path = f"{tmp_path}/gone"
+    numbers(spark).repartition(3).write.parquet(path)
+    engine.register("gone", path)
+    engine.sql("CREATE OINDEX i ON gone (a)")
+    lost = next(p for p in pathlib.Path(path).glob("part-*.parquet"))
+    lost.unlink()
+    engine.register("gone", path)
+    assert [r[0] for r in engine.sql("CHECK OINDEX ON gone").collect()] == [f"Data file: {lost} not found!"]
+    engine.sql("REFRESH OINDEX ON gone")
+    assert engine.sql("CHECK OINDEX ON gone").count() == 0
+
+
+def test_the_driver_holds_little_of_each_file(engine, spark, tmp_path):
+    """Neither Bloom bits nor samples, and samples are bounded; a manifest of 10,000 files is a small list."""
+    t = made(engine, tmp_path, spark.range(50_000).select(F.col("id").alias("a"), F.col("id").alias("b")).coalesce(1))
+    engine.sql(f"CREATE OINDEX i ON {t} (a)")
+    _, roots, _, index = engine._index(t, "i")
+    held = engine._manifest(index)
+    assert len(held) == 1 and not {"bloom", "sample"} & set(*held.values()) and len(pickle.dumps(held)) < 2000
+    whole = spark.read.parquet(index.manifest)
+    assert whole.select(F.size("sample")).first()[0] <= 1200
+    index.manifest += "-many"
+    whole.drop("file").crossJoin(spark.range(10_000).select(F.concat(F.lit("/x/"), F.col("id").cast("string")).alias("file"))).write.parquet(index.manifest)
+    assert len(engine._manifest(index)) == 10_000 and len(pickle.dumps(engine._manifest(index))) < 10_000 * 700
+
+
+def test_sessions_do_not_lose_each_others_indexes(engine, spark, tmp_path):
+    t = made(engine, tmp_path, numbers(spark))
+    other = Engine(spark, engine.catalog.root)
+    engine.sql(f"CREATE OINDEX i ON {t} (a)")
+    assert [r["key_name"] for r in other.sql(f"SHOW OINDEX FROM {t}").collect()] == ["i"]
+    stale = other.catalog.load(engine._relation(t)[1])
+    engine.sql(f"CREATE OINDEX j ON {t} (b)")
+    stale.indexes.clear()
+    with pytest.raises(ChangedElsewhere):
+        other.catalog.save(stale)
+    assert {r["key_name"] for r in other.sql(f"SHOW OINDEX FROM {t}").collect()} == {"i", "j"}
