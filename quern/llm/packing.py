@@ -21,8 +21,10 @@ CAPACITY, END_ID, OPEN_BINS = 2048, 0, 4096
 TOKENS_A_TASK = 1 << 24
 #: Characters of a text that are split into chunks at a time.
 SLICE = 1 << 20
-#: Chunks, and words, whose ids a worker keeps in each of two generations.
-KEPT = 200_000
+#: Chunks and words whose ids a worker keeps in each of two generations.
+KEPT = 400_000
+#: Little-endian unsigned 32-bit numbers, by their count.
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
 _tokenizers: dict[str, ChunkTokenizer] = {}
 
@@ -69,21 +71,28 @@ class ChunkTokenizer:
         self.split, self.plain = regex.compile(self.SPLIT).findall, regex.compile(self.PLAIN).fullmatch
         units = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.units = {c: "".join(x for x, _ in units.pre_tokenize_str(chr(c))) for c in range(0x80, 0x100)}
-        self.words, self.chunks = Kept(self._word), Kept(self._chunk)
+        self.chunks = Kept(self._chunk)
 
     def _word(self, word: str) -> bytes:
-        found = self.model.tokenize(word if word.isascii() else word.translate(self.units))
-        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
+        found = [t.id for t in self.model.tokenize(word if word.isascii() else word.translate(self.units))]
+        return _PACK[len(found)](*found) if len(found) < 64 else struct.pack(f"<{len(found)}I", *found)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.base.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        if "<|" in chunk or not (chunk.isprintable() if chunk.isascii() else self.plain(chunk)):
+        if chunk.isascii():
+            if chunk.isalpha() and chunk.islower():
+                return self._word(chunk)
+            plain = chunk.isprintable() and "<|" not in chunk
+        else:
+            plain = self.plain(chunk) and "<|" not in chunk
+        if not plain:
             return self._whole(chunk)
-        if chunk.isalpha():
-            return self.words[chunk.lower()]
-        return b"".join(map(self.words.__getitem__, self.split(chunk.lower())))
+        # Words are chunks, too; one that can't be split is the model's.
+        low = chunk.lower()
+        parts = self.split(low)
+        return self._word(low) if parts == [chunk] else b"".join(map(self.chunks.__getitem__, parts))
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""

@@ -30,7 +30,7 @@ def test_chunks_give_the_ids_of_the_whole(tokenizer, text):
 
 def test_special_words_and_full_caches(tokenizer, rows):
     small = packing.ChunkTokenizer(packing.tokenizer_path())
-    small.chunks.most = small.words.most = 5
+    small.chunks.most = 5
     for text in ["a<|endoftext|>b c", "<|startoftext|> hi", "<|no|>", "I'LL don't 'S", "x" * 3000, *(r[1] or "" for r in rows)]:
         assert small.encode(text) == plain(tokenizer, text) == tokenizer.encode(text)
     assert len(small.chunks) <= 5 and len(small.chunks.old) <= 5
