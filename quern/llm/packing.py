@@ -22,7 +22,7 @@ TOKENS_A_TASK = 1 << 24
 #: Characters of a text that are split into chunks at a time.
 SLICE = 1 << 20
 #: Chunks and words whose ids a worker keeps in each of two generations.
-KEPT = 400_000
+KEPT = 200_000
 #: Little-endian unsigned 32-bit numbers, by their count.
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
