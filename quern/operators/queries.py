@@ -602,9 +602,9 @@ def _pivot(spark, sf_dir):
 def _qualified_name(spark, sf_dir):
     """A catalog table by its database's name."""
     f = fixture(spark, sf_dir)
-    spark.sql("CREATE DATABASE IF NOT EXISTS quern_rows")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS quern_rows LOCATION '{f.folder}/database'")
     table = f"quern_rows.nation_{uuid.uuid4().hex[:8]}"
-    f.source("nation").write.saveAsTable(table)
+    f.source("nation").write.option("path", f"{f.folder}/{table}").saveAsTable(table)
     f.engine.sql(f"CREATE OINDEX k ON {table} (n_nationkey)")
     with f.with_settings(**SMALL):
         return f.engine.sql(f"SELECT n_nationkey, n_name FROM {table} WHERE n_nationkey = 7")
@@ -616,7 +616,7 @@ def _insert_select(spark, sf_dir):
     f = _prepared(spark, sf_dir, ["qx_orders"], ["o_orderkey"])
     table = f"quern_made_{uuid.uuid4().hex[:8]}"
     with f.with_settings(**SMALL):
-        f.engine.sql(f"CREATE TABLE {table} USING parquet AS SELECT o_orderkey, o_custkey FROM qx_orders WHERE o_orderkey = 7")
+        f.engine.sql(f"CREATE TABLE {table} USING parquet LOCATION '{f.folder}/{table}' AS SELECT o_orderkey, o_custkey FROM qx_orders WHERE o_orderkey = 7")
         f.engine.sql(f"INSERT INTO {table} SELECT o_orderkey, o_custkey FROM qx_orders WHERE o_orderkey = 39")
     return spark.table(table)
 
