@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._shared import crc32_of_id, documents, utf8
+from ._shared import crc32_of_id, documents, lean, utf8
 
 #: Bytes in a window, size of a byte's embedding, filter widths, filters of each width.
 WINDOW, EMBED, WIDTHS, FILTERS = 256, 8, (2, 3, 4, 5), 12
@@ -193,7 +193,7 @@ def predict(df: DataFrame, net: ByteNetwork | None, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([ids.cast(schema.field(0).type), pa.array(classes[best], pa.string()), pa.array(score)], schema=schema)
 
     text = F.col(text_col).cast("string")
-    return df.select(F.col(id_col), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("lettered")).mapInArrow(run, out)
+    return df.select(F.col(id_col), text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("lettered")).mapInArrow(lean(run), out)
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import tokens
-from ._shared import documents, record_batches, utf8
+from ._shared import documents, lean, record_batches, utf8
 
 #: Words of an n-gram, n-grams of a winnowing window, words more than a template's that a match may span on each side (or the template's number, if greater).
 GRAM, WINDOW, BAND = 3, 3, 8
@@ -263,7 +263,7 @@ def scan(df: DataFrame, templates: dict[str, str] | None = None, id_col: str = "
                         for _, template, n, begin, end in mine:
                             yield ids[doc], index.names[template], place[begin], place[end], n, n / len(index.words[template])
 
-    return df.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") > 0).mapInArrow(lambda batches: record_batches(rows(batches), schema), out)
+    return df.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") > 0).mapInArrow(lean(lambda batches: record_batches(rows(batches), schema)), out)
 
 
 def op1_license_scan(spark, sf_dir) -> DataFrame:

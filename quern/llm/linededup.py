@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._shared import ASCII_SPACE, ascii_lower, documents, record_batches, utf8, write_shared
+from ._shared import ASCII_SPACE, ascii_lower, documents, lean, record_batches, utf8, write_shared
 
 MIN_CHARS, MIN_DOCUMENTS = 20, 3
 #: Lines that a task counts and writes the shared ones of, about.
@@ -54,21 +54,22 @@ def _rebuild(docs: DataFrame, out: T.StructType, make) -> DataFrame:
 
     def rows(batches):
         for b in batches:
-            *others, texts, drops = b.columns
-            rest = zip(*(c.to_pylist() for c in others)) if others else ((),) * b.num_rows
-            for values, text, gone in zip(rest, utf8(texts), drops.to_pylist()):
-                lines = (text or b"").split(b"\n")
-                if gone:
-                    lost = set(gone)
-                    kept = b"\n".join(x for i, x in enumerate(lines) if i not in lost)
-                else:
-                    kept = text
-                yield make(values, kept, len(lines), len(set(gone)) if gone else 0)
+            for at in range(0, b.num_rows, 512):
+                *others, texts, drops = (c.slice(at, 512) for c in b.columns)
+                rest = zip(*(c.to_pylist() for c in others)) if others else ((),) * len(texts)
+                for values, text, gone in zip(rest, utf8(texts), drops.to_pylist()):
+                    lines = (text or b"").split(b"\n")
+                    if gone:
+                        lost = set(gone)
+                        kept = b"\n".join(x for i, x in enumerate(lines) if i not in lost)
+                    else:
+                        kept = text
+                    yield make(values, kept, len(lines), len(set(gone)) if gone else 0)
 
     def run(batches):
-        yield from record_batches(rows(batches), schema, most=4096, weight=lambda r: sum(len(x) for x in r if isinstance(x, (str, bytes))))
+        yield from record_batches(rows(batches), schema, most=1024, weight=lambda r: sum(len(x) for x in r if isinstance(x, (str, bytes))))
 
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(lean(run), out)
 
 
 def _with_drops(df: DataFrame, columns: list[str], id_col: str, text_col: str, min_chars: int, min_documents: int) -> DataFrame:

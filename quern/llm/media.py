@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._shared import documents, record_batches, utf8, write_shared
+from ._shared import documents, lean, record_batches, utf8, write_shared
 
 #: Samples in a row of the picture; also what payloads are padded to a multiple of.
 WIDTH = 64
@@ -216,7 +216,7 @@ def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches):
         yield from record_batches(rows(batches), schema, most=ROWS, weight=lambda r: len(r[2]), most_weight=4 << 20)
 
-    return df.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, out)
+    return df.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), out)
 
 
 def read_media(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -236,7 +236,7 @@ def read_media(media: DataFrame, id_col: str = "doc_id", media_col: str = "media
                 for *row, blob in zip(*values, blobs):
                     yield *row, *((None,) * len(_FEATURES) if blob is None else _described(blob))
 
-    return media.select(*[F.col(c) for c in first], F.col(media_col).alias("media")).mapInArrow(lambda batches: record_batches(rows(batches), schema), out)
+    return media.select(*[F.col(c) for c in first], F.col(media_col).alias("media")).mapInArrow(lean(lambda batches: record_batches(rows(batches), schema)), out)
 
 
 def op8_media_columns(spark, sf_dir) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._shared import documents, record_batches, write_shared
+from ._shared import documents, lean, record_batches, write_shared
 
 #: Tokens in a sequence, the id that ends each document, and bins open at a time in a task.
 CAPACITY, END_ID, OPEN_BINS = 2048, 0, 4096
@@ -140,7 +140,7 @@ def token_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         row = (i, piece, start // 4, len(cut) // 4, zlib.crc32(cut))
                         yield (*row, np.frombuffer(cut, "<i4")) if with_ids else row
 
-    return df.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(lambda batches: record_batches(rows(batches), schema, most=2048 if with_ids else 16384), out)
+    return df.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).mapInArrow(lean(lambda batches: record_batches(rows(batches), schema, most=2048 if with_ids else 16384)), out)
 
 
 class OpenBins:
@@ -212,7 +212,7 @@ def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY
             yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(b.columns, schema)), pa.array(ids + first), pa.array(offsets)], schema=schema)
 
     order = [F.col(f"`{f.name}`") for f in pieces.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))]
-    return pieces.repartition(tasks).sortWithinPartitions(*order).mapInArrow(run, out)
+    return pieces.repartition(tasks).sortWithinPartitions(*order).mapInArrow(lean(run), out)
 
 
 def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "word_bpe_49k.json", capacity: int = CAPACITY, with_ids: bool = False, tasks: int | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import tokens
-from ._shared import crc32_of_id, documents, utf8
+from ._shared import crc32_of_id, documents, lean, utf8
 
 #: Buckets of the hashed features, and the longest n-gram.
 BUCKETS, GRAMS = 1 << 18, 2
@@ -134,7 +134,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
                 done += len(ids)
 
     # At most ``most`` rows of two numbers.
-    held = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id").select("id", "label", "text").mapInArrow(run, out)
+    held = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id").select("id", "label", "text").mapInArrow(lean(run), out)
     found = [(r["id"], r["label"], bytes(r["buckets"]), bytes(r["values"])) for r in held.toLocalIterator(prefetchPartitions=True)]
     found.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r))
     return [(np.frombuffer(b, "<i4"), np.frombuffer(v, "<f4"), y) for _, y, b, v in found]
@@ -163,7 +163,7 @@ def score(df: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col:
                 for ids, texts in tokens.chunks(part.column(0).to_pylist(), utf8(part.column(1))):
                     yield pa.RecordBatch.from_arrays([pa.array(ids, schema.field(0).type), pa.array(_probabilities(w, texts))], schema=schema)
 
-    return df.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, out)
+    return df.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), out)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -192,7 +192,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
                 good = [_probabilities(shared.value, texts) >= threshold for _, texts in tokens.chunks(range(part.num_rows), utf8(part.column(at)))]
                 yield part.filter(pa.array(np.concatenate(good)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op4_quality(spark, sf_dir) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._shared import documents, drop_shared, record_batches, utf8, write_shared
+from ._shared import documents, drop_shared, lean, record_batches, utf8, write_shared
 from .components import component_labels
 from .tokens import mix
 
@@ -98,7 +98,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             fps = np.array([fingerprint(t, shingle) for t in utf8(b.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(schema.field(0).type), pa.array(fps)], schema=schema)
 
-    return df.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, out)
+    return df.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), out)
 
 
 def spanning_forest(i: np.ndarray, j: np.ndarray, d: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -267,7 +267,7 @@ def _described(docs: DataFrame, shingle: int) -> DataFrame:
                 found = shingle_set(text, shingle)
                 yield i, *np.array([majority([found]), majority([mix(found)])], np.uint64).view(np.int64).tolist(), _digest(found)
 
-    return docs.select("id", "text").mapInArrow(lambda batches: record_batches(rows(batches), schema), out)
+    return docs.select("id", "text").mapInArrow(lean(lambda batches: record_batches(rows(batches), schema)), out)
 
 
 def _digest(found: np.ndarray) -> bytes:
@@ -289,7 +289,7 @@ def _thinned(links: DataFrame) -> DataFrame:
         keep, _ = spanning_forest(at[: len(whole)], at[len(whole) :], whole.column(2).to_numpy(), len(ends.dictionary))
         yield from whole.take(pa.array(np.sort(keep))).combine_chunks().to_batches(max_chunksize=10_000)
 
-    return write_shared(links.repartition(tasks).mapInArrow(run, out), "thinned")[0]
+    return write_shared(links.repartition(tasks).mapInArrow(lean(run), out), "thinned")[0]
 
 
 def _verified(links: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -310,7 +310,7 @@ def _verified(links: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     asked = nodes.join(ends, "node", "left_semi").select("node", F.col("rep").alias("id"))
     texts = docs.join(asked, "id").select("node", "text")
-    held, _ = write_shared(texts.mapInArrow(sets, kept).groupBy("node").agg(F.min("hashes").alias("hashes")), "sets")
+    held, _ = write_shared(texts.mapInArrow(lean(sets), kept).groupBy("node").agg(F.min("hashes").alias("hashes")), "sets")
     pairs = links.join(held.select(F.col("node").alias("a"), F.col("hashes").alias("mine")), "a").join(held.select(F.col("node").alias("b"), F.col("hashes").alias("other")), "b")
     out = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
     pair = to_arrow_schema(out)
@@ -324,7 +324,7 @@ def _verified(links: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
                 good.append(both >= similarity * (len(mine) + len(other) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], schema=pair).filter(pa.array(good, pa.bool_()))
 
-    return pairs.select("a", "b", "mine", "other").mapInArrow(run, out)
+    return pairs.select("a", "b", "mine", "other").mapInArrow(lean(run), out)
 
 
 def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, radius: int = SIMILAR_RADIUS) -> DataFrame:
