@@ -16,6 +16,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -212,7 +213,8 @@ def links_within(distinct: DataFrame, radius: int = RADIUS, columns: tuple[str,
     schema = to_arrow_schema(out)
     of = lambda table: F.element_at(F.create_map(*[F.lit(x).cast("long") for kv in table.items() for x in kv]), pop.cast("long"))
     place = of(begin) + F.floor(F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) * of(dict(counts)) / (1 << 30))
-    tiles = distinct.select(F.floor(place / rows).cast("int").alias("tile"), *columns, "rep").groupBy("tile").agg(F.collect_list(F.struct(*columns, "rep")).alias("row"))
+    # Rows of a tile in an order of their own: which of equally short links a forest takes hangs on it.
+    tiles = distinct.select(F.floor(place / rows).cast("int").alias("tile"), *columns, "rep").groupBy("tile").agg(F.sort_array(F.collect_list(F.struct(*columns, "rep"))).alias("row"))
     tiles, path = write_shared(tiles.select("tile", *[F.col("row")[c].alias(c) for c in (*columns, "rep")]), "tiles")
     # A row of three numbers for each tile.
     met = tiles.join(F.broadcast(spark.createDataFrame(spans, "tile int, first int, last int")), "tile")
@@ -277,7 +279,8 @@ def _digest(found: np.ndarray) -> bytes:
 def _thinned(links: DataFrame) -> DataFrame:
     """A part of ``links(a, b, distance)`` that holds a minimum spanning forest of them; written.
 
-    Each task keeps a forest of its share, some hundred thousand links.
+    Each task keeps a forest of its share, some hundred thousand links.  Shares are dealt by the links'
+    ends, and of equally short links those of the least ends are taken, so reruns keep the same ones.
     """
     out, tasks = links.schema, max(1, -(-links.count() // THINNED_LINKS))
     schema = to_arrow_schema(out)
@@ -285,11 +288,13 @@ def _thinned(links: DataFrame) -> DataFrame:
     def run(batches):
         whole = pa.Table.from_batches(list(batches), schema=schema)
         ends = pa.concat_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in whole.columns[:2]]).dictionary_encode()
-        at = ends.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        place = np.empty(len(ends.dictionary), np.int64)
+        place[pc.array_sort_indices(ends.dictionary).to_numpy()] = np.arange(len(place))
+        at = place[ends.indices.to_numpy(zero_copy_only=False)]
         keep, _ = spanning_forest(at[: len(whole)], at[len(whole) :], whole.column(2).to_numpy(), len(ends.dictionary))
         yield from whole.take(pa.array(np.sort(keep))).combine_chunks().to_batches(max_chunksize=10_000)
 
-    return write_shared(links.repartition(tasks).mapInArrow(lean(run), out), "thinned")[0]
+    return write_shared(links.repartition(tasks, "a", "b").mapInArrow(lean(run), out), "thinned")[0]
 
 
 def _verified(links: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:

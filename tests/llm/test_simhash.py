@@ -96,6 +96,20 @@ def test_tiles_give_a_minimum_spanning_forest(n, words, radius, held, seed):
         simhash.HELD_LINKS = before
 
 
+@pytest.mark.parametrize("tile_rows", [7, None])
+def test_links_do_not_depend_on_the_order_of_rows(spark, tile_rows):
+    """Many links of one length: which of them a forest takes is settled by the fingerprints, not by what arrives first."""
+    fps = sorted({sum(1 << int(b) for b in rng.integers(0, 9, 3)) for rng in [np.random.default_rng(3)] for _ in range(300)})
+    df = spark.createDataFrame([(f, f"{f:x}".encode()) for f in fps], "fp long, rep binary")
+    found = []
+    for seed in range(3):
+        mixed = df.repartition(5).orderBy(F.rand(seed)).repartition(3 + seed)
+        links = simhash.links_within(mixed, radius=3, tile_rows=tile_rows)
+        thinned = simhash._thinned(links.orderBy(F.rand(seed)).repartition(2 + seed))
+        found.append([sorted((bytes(r["a"]), bytes(r["b"]), r["distance"]) for r in t.collect()) for t in (links, thinned)])
+    assert len(found[0][1]) >= len(fps) - 1 and found[0] == found[1] == found[2]
+
+
 def test_long_texts_are_hashed_in_slices(monkeypatch):
     text = " ".join(f"w{i % 977}\t{i}" for i in range(3000)).encode()
     whole = simhash.fingerprint(text), simhash.shingle_set(text, 5).tolist()
