@@ -32,6 +32,8 @@ SHINGLE, RADIUS, SEED = 4, 4, 42
 #: ``similar_documents``: words in a shingle, least Jaccard similarity, and the differing bits of 128 up to
 #: which it is computed.  At similarity 0.8 some 20 bits differ, with a standard deviation of 4.
 SIMILAR_SHINGLE, SIMILARITY, SIMILAR_RADIUS = 5, 0.8, 32
+#: Spanning forests without a common link whose links ``similar_documents`` computes the similarity of.
+FORESTS = 4
 #: Fingerprints of a tile at least and at most; in between, tables have about so many tiles.
 LEAST_TILE, MOST_TILE, TILES = 1 << 14, 1 << 18, 64
 #: Comparisons a task is to make, about (a second or so); links a comparison holds before it thins them out.
@@ -134,8 +136,21 @@ def spanning_forest(i: np.ndarray, j: np.ndarray, d: np.ndarray, n: int) -> tupl
     return order[np.concatenate(chosen)] if chosen else np.empty(0, np.int64), group
 
 
-def compare_tiles(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(i, j, distance)``: a minimum spanning forest of all pairs within ``radius``.
+def spanning_forests(i: np.ndarray, j: np.ndarray, d: np.ndarray, n: int, forests: int) -> list[np.ndarray]:
+    """The links of a minimum spanning forest, of one of the links that this leaves, and so on.
+
+    Together they hold as much of any larger set of links as its forests could use.
+    """
+    found, rest = [], np.arange(len(d))
+    for _ in range(forests):
+        keep, _ = spanning_forest(i[rest], j[rest], d[rest], n)
+        found.append(rest[keep])
+        rest = np.delete(rest, keep)
+    return found
+
+
+def compare_tiles(a: np.ndarray, b: np.ndarray | None, radius: int, forests: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(i, j, distance)``: a minimum spanning forest of all pairs within ``radius``, or several (``spanning_forests``).
 
     ``a`` and ``b`` hold a fingerprint a row, in words of 64 bits; positions in ``b`` begin at
     ``len(a)``; without ``b`` the pairs are those within ``a``.  Links held are thinned out in
@@ -151,10 +166,11 @@ def compare_tiles(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.
     def thin():
         nonlocal held, size, linked
         i, j, d = (np.concatenate(x) for x in zip(*held))
-        keep, _ = spanning_forest(i, j, d, n)
-        i, j, d = i[keep], j[keep], d[keep]
-        linked = [(level, spanning_forest(i[d <= level], j[d <= level], d[d <= level], n)[1]) for level in levels]
-        held, size = [(i, j, d)], 0
+        found = spanning_forests(i, j, d, n, forests)
+        last = [x[found[-1]] for x in (i, j, d)]  # what this one connects, the ones before connect too
+        linked = [(level, spanning_forest(*[x[last[2] <= level] for x in last], n)[1]) for level in levels]
+        keep = np.concatenate(found)
+        held, size = [(i[keep], j[keep], d[keep])], 0
 
     step = max(1, (1 << 19) // max(1, len(b)))
     for at in range(0, len(a), step):
@@ -184,12 +200,12 @@ def _matrix(row: dict, columns: tuple[str, ...]) -> np.ndarray:
     return np.stack([row[c].values.to_numpy(zero_copy_only=False).view(np.uint64) for c in columns], axis=1)
 
 
-def links_within(distinct: DataFrame, radius: int = RADIUS, columns: tuple[str, ...] = ("fp",), tile_rows: int | None = None) -> DataFrame:
+def links_within(distinct: DataFrame, radius: int = RADIUS, columns: tuple[str, ...] = ("fp",), tile_rows: int | None = None, forests: int = 1) -> DataFrame:
     """``(a, b, distance)``: representatives whose links connect all that lie within ``radius`` of each other.
 
     ``distinct`` has ``rep`` and the fingerprint's words (at most three) in ``columns``, each
-    fingerprint once or more.  Of each pair of tiles a minimum spanning forest is linked, so all
-    together hold a minimum spanning forest of all pairs.  A tile goes to each tile it is
+    fingerprint once or more.  Of each pair of tiles a minimum spanning forest (or several) is linked, so all
+    together hold such forests of all pairs.  A tile goes to each tile it is
     compared with; a task holds one pair of tiles at a time.  Written to the shared folder.
     """
     spark = distinct.sparkSession
@@ -223,7 +239,7 @@ def links_within(distinct: DataFrame, radius: int = RADIUS, columns: tuple[str,
     def run(table: pa.Table) -> pa.Table:
         found = sorted(({c: table.column(c)[k] for c in table.column_names} for k in range(table.num_rows)), key=lambda r: r["tile"].as_py())
         sides = [_matrix(r, columns) for r in found]
-        i, j, d = compare_tiles(sides[0], sides[1] if len(sides) > 1 else None, radius)
+        i, j, d = compare_tiles(sides[0], sides[1] if len(sides) > 1 else None, radius, forests)
         reps = pa.concat_arrays([r["rep"].values for r in found]).cast(schema.field(0).type)
         return pa.table([reps.take(pa.array(i)), reps.take(pa.array(j)), pa.array(d, pa.int32())], schema=schema)
 
@@ -276,10 +292,10 @@ def _digest(found: np.ndarray) -> bytes:
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 
-def _thinned(links: DataFrame) -> DataFrame:
-    """A part of ``links(a, b, distance)`` that holds a minimum spanning forest of them; written.
+def _thinned(links: DataFrame, forests: int = 1) -> DataFrame:
+    """A part of ``links(a, b, distance)`` that holds a minimum spanning forest of them, or several; written.
 
-    Each task keeps a forest of its share, some hundred thousand links.  Shares are dealt by the links'
+    Each task keeps forests of its share, some hundred thousand links.  Shares are dealt by the links'
     ends, and of equally short links those of the least ends are taken, so reruns keep the same ones.
     """
     out, tasks = links.schema, max(1, -(-links.count() // THINNED_LINKS))
@@ -291,7 +307,7 @@ def _thinned(links: DataFrame) -> DataFrame:
         place = np.empty(len(ends.dictionary), np.int64)
         place[pc.array_sort_indices(ends.dictionary).to_numpy()] = np.arange(len(place))
         at = place[ends.indices.to_numpy(zero_copy_only=False)]
-        keep, _ = spanning_forest(at[: len(whole)], at[len(whole) :], whole.column(2).to_numpy(), len(ends.dictionary))
+        keep = np.concatenate(spanning_forests(at[: len(whole)], at[len(whole) :], whole.column(2).to_numpy(), len(ends.dictionary), forests))
         yield from whole.take(pa.array(np.sort(keep))).combine_chunks().to_batches(max_chunksize=10_000)
 
     return write_shared(links.repartition(tasks, "a", "b").mapInArrow(lean(run), out), "thinned")[0]
@@ -337,9 +353,9 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Two texts are similar if the Jaccard similarity of their sets of ``shingle`` words (fewer words: the
     whole sequence) is ``similarity`` or more.  All pairs of distinct sets are compared by
-    128-bit fingerprints in tiles; a minimum spanning forest of those within ``radius`` bits is then
-    held against the sets themselves, so no link is false.  A link is missed if its texts differ in more
-    bits, or if all shorter ways between them fail; README has the measured share.
+    128-bit fingerprints in tiles; ``FORESTS`` minimum spanning forests of those within ``radius`` bits, which
+    share no link, are then held against the sets themselves, so no link is false.  A link is missed if its texts
+    differ in more bits, or if so many shorter ways between them fail; README has the measured share.
 
     Null, empty and blank texts have the empty set and are copies of each other; texts of one set,
     whatever their order, are too.  Rows that repeat an id each have their row.  A
@@ -349,7 +365,7 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows, _ = write_shared(_described(docs, shingle), "described")
     nodes, _ = write_shared(_in_few_files(rows.groupBy("node").agg(F.min("id").alias("rep"), F.min("fp0").alias("fp0"), F.min("fp1").alias("fp1")), rows), "nodes")
-    links = _thinned(links_within(nodes.where("rep IS NOT NULL").select("fp0", "fp1", F.col("node").alias("rep")), radius, ("fp0", "fp1")))
+    links = _thinned(links_within(nodes.where("rep IS NOT NULL").select("fp0", "fp1", F.col("node").alias("rep")), radius, ("fp0", "fp1"), forests=FORESTS), FORESTS)
     named = component_labels(_verified(links, nodes, docs, shingle, similarity))
     classes = nodes.join(named, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
     least = classes.groupBy("component").agg(F.min("rep").alias("component_id"))

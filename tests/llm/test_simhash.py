@@ -110,6 +110,25 @@ def test_links_do_not_depend_on_the_order_of_rows(spark, tile_rows):
     assert len(found[0][1]) >= len(fps) - 1 and found[0] == found[1] == found[2]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 40), st.sampled_from([0, 3, 20]), st.sampled_from([3, 1 << 20]), st.integers(1, 3), st.integers(0, 9))
+def test_tiles_give_forests_without_a_common_link(n, radius, held, forests, seed):
+    rng, before = np.random.default_rng(seed), simhash.HELD_LINKS
+    base = rng.integers(0, 1 << 63, (1 + n // 8, 1), dtype=np.uint64)
+    a = base[rng.integers(0, len(base), n)] ^ (np.uint64(1) << rng.integers(0, 64, (n, 1), dtype=np.uint64))
+    away = np.bitwise_count(a[:, None] ^ a[None]).sum(axis=2).astype(int)
+    simhash.HELD_LINKS = held
+    try:
+        i, j, d = simhash.compare_tiles(a, None, radius, forests)
+    finally:
+        simhash.HELD_LINKS = before
+    x, y = np.nonzero(np.triu(away <= radius, 1))
+    assert len({*zip(i.tolist(), j.tolist())}) == len(i) and (away[i, j] == d).all()
+    # As long as forests of all pairs, taken away one after the other.
+    lengths = [[len(p), int(w[p].sum())] for u, v, w in ((x, y, away[x, y]), (i, j, d)) for p in simhash.spanning_forests(u, v, w, n, forests)]
+    assert lengths[:forests] == lengths[forests:] and sum(k for k, _ in lengths[:forests]) == len(d)
+
+
 def test_long_texts_are_hashed_in_slices(monkeypatch):
     text = " ".join(f"w{i % 977}\t{i}" for i in range(3000)).encode()
     whole = simhash.fingerprint(text), simhash.shingle_set(text, 5).tolist()
@@ -156,6 +175,22 @@ def brute_similar(rows, least=0.8):
     return {i: find(i) for i in sets}, links
 
 
+def test_links_beside_failing_ones(spark):
+    """Families in which a text's closest neighbours by fingerprint are often not similar enough, and farther ones are."""
+    rng, made = np.random.default_rng(11), []
+    for family in range(12):
+        base = [f"f{family}w{x}" for x in rng.integers(0, 500, 150)]
+        for k in range(20):
+            words = list(base)
+            for at in rng.integers(0, len(words), rng.integers(0, 14)):
+                words[at] = f"new{rng.integers(0, 1 << 30)}"
+            made.append((1000 * family + k, " ".join(words)))
+    want, links = brute_similar(made)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert all(want[got[i]] == want[i] for i in got)
+    assert len(links) > 100 and sum(got[i] == got[j] for i, j in links) >= 0.99 * len(links)
+
+
 def test_similar_documents(spark, docs, rows, clashing, empty):
     rng = np.random.default_rng(5)
     made = [tuple(r[:2]) for r in rows]
