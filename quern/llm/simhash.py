@@ -5,12 +5,14 @@ fingerprints whose population counts differ by more than the radius cannot be wi
 so tile pairs whose counts lie further apart are skipped; every other pair is compared
 whole, with exclusive-or and bit counts in numpy, and gives at most a spanning forest of
 its links.  ``near_duplicates`` links by the fingerprints alone; ``similar_documents`` holds the
-links of wider fingerprints against the Jaccard similarity of the shingles themselves.
+links of wider fingerprints against the Jaccard similarity of the shingles themselves, and finds
+those that the fingerprints leave out by the rarest shingles of each text, without exception.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterable, Iterator
 
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ._shared import documents, drop_shared, lean, record_batches, utf8, write_shared
+from ._shared import documents, drop_shared, lean, record_batches, release, utf8, write_shared
 from .components import component_labels
 from .tokens import mix
 
@@ -34,6 +36,15 @@ SHINGLE, RADIUS, SEED = 4, 4, 42
 SIMILAR_SHINGLE, SIMILARITY, SIMILAR_RADIUS = 5, 0.8, 32
 #: Spanning forests without a common link whose links ``similar_documents`` computes the similarity of.
 FORESTS = 4
+#: The sample by which ``similar_documents`` tells rare shingles from frequent ones: documents, shingles of one, times seen,
+#: and frequent ones kept.  It only orders the shingles, so no link hangs on it.
+SAMPLED, SAMPLED_SHINGLES, OFTEN, FREQUENT = 5000, 1024, 3, 100_000
+#: Bits of a sketch, at least and at most; about two for each shingle in between.
+LEAST_SKETCH, MOST_SKETCH = 1 << 8, 1 << 16
+#: Rare shingles that a task compares, about; texts of one shingle that are held together; rows and pairs of a task and of a step.
+POSTINGS, TOGETHER, MET_ROWS, STEP_PAIRS = 500_000, 4096, 100_000, 1 << 16
+#: Bytes of sets that a task writes, about.
+SETS_A_FILE = 16 << 20
 #: Fingerprints of a tile at least and at most; in between, tables have about so many tiles.
 LEAST_TILE, MOST_TILE, TILES = 1 << 14, 1 << 18, 64
 #: Comparisons a task is to make, about (a second or so); links a comparison holds before it thins them out.
@@ -251,9 +262,9 @@ def links_within(distinct: DataFrame, radius: int = RADIUS, columns: tuple[str,
     return links
 
 
-def _in_few_files(narrow: DataFrame, source: DataFrame) -> DataFrame:
-    """``narrow``, no longer than the written ``source``, in tasks of ``ROWS_A_FILE`` rows, not one for each shuffle partition."""
-    return narrow.coalesce(max(1, -(-source.count() // ROWS_A_FILE)))
+def _in_few_files(narrow: DataFrame, source: DataFrame | int) -> DataFrame:
+    """``narrow``, no longer than the written ``source`` (or so many rows), in tasks of ``ROWS_A_FILE`` rows, not one for each shuffle partition."""
+    return narrow.coalesce(max(1, -(-(source if isinstance(source, int) else source.count()) // ROWS_A_FILE)))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -274,18 +285,63 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return fps.join(classes, "fp", "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _described(docs: DataFrame, shingle: int) -> DataFrame:
-    """``(id, fp0, fp1, node)`` of ``docs(id, text)``: 128 bits over the distinct shingles, and a digest of their set."""
-    out = T.StructType([docs.schema["id"], T.StructField("fp0", T.LongType()), T.StructField("fp1", T.LongType()), T.StructField("node", T.BinaryType())])
-    schema = to_arrow_schema(out)
+def _frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that a sample of ``docs(id, text)`` holds ``OFTEN``, sorted, and how often each is there."""
+    every = max(1, -(-docs.count() // SAMPLED))
+    found, counted = T.StructType([T.StructField("hashes", T.BinaryType())]), T.StructType([T.StructField("hash", T.LongType()), T.StructField("n", T.LongType())])
+
+    def sets(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([shingle_set(t, shingle)[:SAMPLED_SHINGLES].tobytes() for t in utf8(b.column(0))], pa.binary())], ["hashes"])
+
+    def count(batches):
+        hashes, n = np.unique(np.frombuffer(b"".join(x for b in batches for x in b.column(0).to_pylist()), np.uint64), return_counts=True)
+        often = np.flatnonzero(n >= OFTEN)
+        often = often[np.argsort(-n[often], kind="stable")[:FREQUENT]]
+        yield pa.RecordBatch.from_arrays([pa.array(hashes[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["hash", "n"])
+
+    sample = docs.where(F.pmod(F.xxhash64("id", "text"), F.lit(every)) == 0).select("text").mapInArrow(lean(sets), found)
+    table = sample.repartition(1).mapInArrow(lean(count), counted).toArrow()  # some thousand rows of two numbers
+    hashes, n = table.column("hash").to_numpy().view(np.uint64), table.column("n").to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
+
+
+def rarest(found: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first of the sorted hashes ``found`` in the order of frequency, so many that any similar set has one of them among its own.
+
+    A set of n hashes shares at least ``similarity`` * n with a similar one; the first hash they share, in an order
+    common to all sets, has so many behind it, itself included.
+    """
+    hashes, n = frequent
+    if len(hashes):
+        at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
+        found = found[np.argsort(np.where(hashes[at] == found, n[at], 0), kind="stable")]
+    return found[: len(found) - math.ceil(similarity * len(found) - 1e-6) + 1]
+
+
+def sketch(found: np.ndarray) -> bytes:
+    """Whether an odd number of the hashes falls on each of a power of two of places: sets differ by at least as many hashes as places."""
+    bits = max(LEAST_SKETCH, min(MOST_SKETCH, 1 << (2 * len(found)).bit_length()))
+    return np.packbits(np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def _described(docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``(id, fp0, fp1, node, n, handle, rare, sketch)`` of ``docs(id, text)``: 128 bits over the distinct shingles, a digest of
+    their set, its size, 40 bits of the digest, the ``rarest`` hashes and a ``sketch``."""
+    out = T.StructType([docs.schema["id"], *(T.StructField(c, T.LongType()) for c in ("fp0", "fp1")), T.StructField("node", T.BinaryType())])
+    out = T.StructType([*out.fields, *(T.StructField(c, T.LongType()) for c in ("n", "handle")), *(T.StructField(c, T.BinaryType()) for c in ("rare", "sketch"))])
+    schema, frequent = to_arrow_schema(out), docs.sparkSession.sparkContext.broadcast(_frequent(docs, shingle))
 
     def rows(batches):
         for b in batches:
             for i, text in zip(b.column(0).to_pylist(), utf8(b.column(1))):
                 found = shingle_set(text, shingle)
-                yield i, *np.array([majority([found]), majority([mix(found)])], np.uint64).view(np.int64).tolist(), _digest(found)
+                node = _digest(found)
+                fps = np.array([majority([found]), majority([mix(found)])], np.uint64).view(np.int64).tolist()
+                yield i, *fps, node, len(found), int.from_bytes(node[:5], "big"), rarest(found, frequent.value, similarity).tobytes(), sketch(found)
 
-    return docs.select("id", "text").mapInArrow(lean(lambda batches: record_batches(rows(batches), schema)), out)
+    return docs.select("id", "text").mapInArrow(lean(lambda batches: record_batches(rows(batches), schema, weight=lambda r: len(r[6]) + len(r[7]), most_weight=8 << 20)), out)
 
 
 def _digest(found: np.ndarray) -> bytes:
@@ -331,7 +387,8 @@ def _verified(links: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     asked = nodes.join(ends, "node", "left_semi").select("node", F.col("rep").alias("id"))
     texts = docs.join(asked, "id").select("node", "text")
-    held, _ = write_shared(texts.mapInArrow(lean(sets), kept).groupBy("node").agg(F.min("hashes").alias("hashes")), "sets")
+    size = 8 * (nodes.join(ends, "node", "left_semi").agg(F.sum("n")).first()[0] or 0)
+    held, _ = write_shared(texts.mapInArrow(lean(sets), kept).groupBy("node").agg(F.min("hashes").alias("hashes")).coalesce(max(1, -(-size // SETS_A_FILE))), "sets")
     pairs = links.join(held.select(F.col("node").alias("a"), F.col("hashes").alias("mine")), "a").join(held.select(F.col("node").alias("b"), F.col("hashes").alias("other")), "b")
     out = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
     pair = to_arrow_schema(out)
@@ -348,14 +405,180 @@ def _verified(links: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int,
     return pairs.select("a", "b", "mine", "other").mapInArrow(lean(run), out)
 
 
+def _postings(rows: DataFrame) -> DataFrame:
+    """``(hash, handle, place)`` of the ``rare`` hashes of ``rows`` that two sets or more have, each set once; ``place`` is that in the set's order.
+
+    Hashes are dealt by their size, so tasks have equal shares; copies of a set are dropped where they lie together, and at last where they meet.
+    """
+    total = rows.agg(F.sum(F.octet_length("rare"))).first()[0] or 0
+    buckets = max(1, -(-total // 8 // POSTINGS))
+    dealt = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("hashes", T.BinaryType()), T.StructField("where", T.BinaryType())])
+    out = T.StructType([T.StructField(c, T.LongType()) for c in ("hash", "handle", "place")])
+    dealt_schema, schema = to_arrow_schema(dealt), to_arrow_schema(out)
+
+    def deal(held: dict[bytes, tuple[int, bytes]]) -> pa.RecordBatch:
+        sizes = np.array([len(rare) // 8 for _, rare in held.values()], np.int64)
+        hashes = np.frombuffer(b"".join(rare for _, rare in held.values()), np.uint64)
+        place = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        where = np.repeat(np.array([h for h, _ in held.values()], np.uint64), sizes) << np.uint64(24) | np.minimum(place, (1 << 24) - 1).astype(np.uint64)
+        bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        found, begin = np.unique(bucket[order], return_index=True)
+        parts = [order[i:j] for i, j in zip(begin, [*begin[1:], len(order)])]
+        return pa.RecordBatch.from_arrays([pa.array(found), *(pa.array([x[p].tobytes() for p in parts], pa.binary()) for x in (hashes, where))], schema=dealt_schema)
+
+    def spread(batches):
+        held, size = {}, 0
+        for b in batches:
+            for node, handle, rare in zip(*(c.to_pylist() for c in b.columns)):
+                if rare and node not in held:
+                    held[node] = handle, rare
+                    size += len(rare)
+                if size >= 8 * POSTINGS:
+                    yield deal(held)
+                    held, size = {}, 0
+        if held:
+            yield deal(held)
+
+    def meet(table: pa.Table) -> pa.Table:
+        hashes, where = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint64) for c in ("hashes", "where"))
+        order = np.lexsort((where, hashes))
+        hashes, where = hashes[order], where[order]
+        again = np.flatnonzero((hashes[1:] == hashes[:-1]) & (where[1:] == where[:-1])) + 1
+        hashes, where = np.delete(hashes, again), np.delete(where, again)
+        same = hashes[1:] == hashes[:-1]
+        keep = np.append(False, same) | np.append(same, False)
+        hashes, where = hashes[keep], where[keep]
+        found = pa.table([pa.array(x.view(np.int64)) for x in (hashes, where >> np.uint64(24), where & np.uint64((1 << 24) - 1))], schema=schema)
+        del hashes, where, order, again, same, keep
+        release()
+        return found
+
+    return write_shared(rows.select("node", "handle", "rare").mapInArrow(lean(spread), dealt).groupBy("bucket").applyInArrow(meet, out).coalesce(buckets), "postings")[0]
+
+
+class Sketches:
+    """Sketches of many sets, compared many pairs at once."""
+
+    def __init__(self, sketches: list[bytes]):
+        self.size, self.at, self.rows = np.array([len(x) // 8 for x in sketches], np.int64), np.empty(len(sketches), np.int64), {}
+        for size in np.unique(self.size).tolist():
+            rows = np.flatnonzero(self.size == size)
+            self.at[rows] = np.arange(len(rows))
+            self.rows[size] = np.frombuffer(b"".join([sketches[k] for k in rows]), np.uint64).reshape(len(rows), size)
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Places in which the sketches of each pair differ, the larger folded to the size of the smaller."""
+        found = np.empty(len(i), np.int64)
+        for a, b in np.unique(np.stack([self.size[i], self.size[j]], axis=1), axis=0).tolist():
+            here = np.flatnonzero((self.size[i] == a) & (self.size[j] == b))
+            step = max(1, (1 << 20) // max(a, b))
+            for at in (here[k : k + step] for k in range(0, len(here), step)):
+                x, y = self.rows[a][self.at[i[at]]], self.rows[b][self.at[j[at]]]
+                while x.shape[1] != y.shape[1]:
+                    half = max(x.shape[1], y.shape[1]) // 2
+                    x, y = (v[:, :half] ^ v[:, half:] if v.shape[1] > half else v for v in (x, y))
+                found[at] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        return found
+
+
+def possible_pairs(group: np.ndarray, part: np.ndarray, whole: np.ndarray, n: np.ndarray, place: np.ndarray, component: np.ndarray, sketches: Sketches, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows ``(i, j)`` of one group and of unlike components whose sets may be similar.
+
+    Rows come by group and, in it, by size.  Pairs go whose sizes, places of the common hash or sketches prove that
+    they are not similar.  In groups that are not ``whole``, pairs are those of unlike parts.
+    """
+    found, held, size = [(np.empty(0, np.int64),) * 2], [], 0
+
+    def sift():
+        nonlocal held, size
+        i, j = (np.concatenate(x) for x in zip(*held))
+        good = sketches.apart(i, j) <= (1 - similarity) / (1 + similarity) * (n[i] + n[j]) + 1e-6
+        found.append((i[good], j[good]))
+        held, size = [], 0
+
+    i, step = np.arange(len(group)), 0
+    while len(i):
+        step += 1
+        i = i[: np.searchsorted(i, len(group) - step)]
+        j = i + step
+        near = (group[i] == group[j]) & (n[i] >= similarity * n[j] - 1e-6)  # false for all larger steps, too
+        i, j = i[near], j[near]
+        least = similarity / (1 + similarity) * (n[i] + n[j]) - 1e-6
+        good = (component[i] != component[j]) & (whole[i] | (part[i] != part[j])) & (np.minimum(n[i] - place[i], n[j] - place[j]) >= least)
+        if good.any():
+            held.append((i[good], j[good]))
+            size += len(held[-1][0])
+            if size >= STEP_PAIRS:
+                sift()
+    if held:
+        sift()
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _missed(rows: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)``: all nodes of unlike components whose sets may be similar; written.
+
+    Similar sets share one of their ``rarest`` hashes.  Of each hash, what lies in more than one component is compared, pair by pair;
+    a hash of many sets is dealt into parts, of which each two are compared in a task.
+    """
+    postings = _postings(rows)
+    held, path = write_shared(_in_few_files(postings.join(classes.select("node", "handle", "n", F.xxhash64("component").alias("component")), "handle"), postings), "held")
+    shared = held.groupBy("hash").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows")).where("low <> high")
+    shared, shared_path = write_shared(_in_few_files(shared.select("hash", "rows", F.ceil(F.col("rows") / TOGETHER).alias("parts")), held), "shared")
+    met = held.join(shared.select("hash", "parts"), "hash").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumns({"t": F.least("part", "other"), "u": F.greatest("part", "other")})
+    met_rows = shared.agg(F.sum(F.col("rows") * F.col("parts"))).first()[0] or 0
+    met, met_path = write_shared(_in_few_files(met.drop("other", "parts", "handle"), met_rows), "met")
+    sketches = rows.select("node", "sketch").join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("sketch").alias("sketch"))
+    out = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+    schema, key = to_arrow_schema(out), ["hash", "t", "u"]
+
+    def pairs(table: pa.Table) -> pa.RecordBatch:
+        hashes, t, u, part, n, place, component = (table.column(c).to_numpy() for c in (*key, "part", "n", "place", "component"))
+        new = np.append(True, (hashes[1:] != hashes[:-1]) | (t[1:] != t[:-1]) | (u[1:] != u[:-1]))
+        i, j = possible_pairs(np.cumsum(new), part, t == u, n, place, component, Sketches(table.column("sketch").to_pylist()), similarity)
+        nodes = table.column("node").combine_chunks().dictionary_encode()
+        at = nodes.indices.to_numpy()
+        ends = np.unique(np.sort(np.stack([at[i], at[j]], axis=1), axis=1), axis=0)
+        # Which end is named first is settled by the nodes, so that all tasks name a pair alike.
+        ends = [sorted(nodes.dictionary[int(k)].as_py() for k in pair) for pair in ends]
+        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in ends], pa.binary()) for k in (0, 1)], schema=schema)
+
+    def run(batches):
+        held, last = [], None
+        for b in batches:
+            # Up to where the last group begins, all groups are whole.
+            at = [b.column(c).to_numpy() for c in key]
+            ends = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in at])) + 1
+            first, cut = tuple(int(x[0]) for x in at) != last, int(ends[-1]) if len(ends) else 0
+            if held and (first or cut):
+                yield pairs(pa.Table.from_batches([*held, b.slice(0, cut)]))
+                held = []
+            elif cut:
+                yield pairs(pa.Table.from_batches([b.slice(0, cut)]))
+            held.append(b.slice(cut))
+            last = tuple(int(x[-1]) for x in at)
+        if held:
+            yield pairs(pa.Table.from_batches(held))
+
+    tasks = max(1, -(-met_rows // MET_ROWS))
+    dealt = met.join(sketches, "node").repartition(tasks, *key).sortWithinPartitions(*key, "n")
+    found, _ = write_shared(_in_few_files(dealt.mapInArrow(lean(run), out).distinct(), met_rows), "missed")
+    for p in (path, shared_path, met_path):
+        drop_shared(rows.sparkSession, p)
+    return found
+
+
 def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, radius: int = SIMILAR_RADIUS) -> DataFrame:
     """``(id_col, component_id)`` for every row: the smallest id reachable by links of similar texts.
 
     Two texts are similar if the Jaccard similarity of their sets of ``shingle`` words (fewer words: the
-    whole sequence) is ``similarity`` or more.  All pairs of distinct sets are compared by
+    whole sequence) is ``similarity`` (above 0) or more.  All pairs of distinct sets are compared by
     128-bit fingerprints in tiles; ``FORESTS`` minimum spanning forests of those within ``radius`` bits, which
-    share no link, are then held against the sets themselves, so no link is false.  A link is missed if its texts
-    differ in more bits, or if so many shorter ways between them fail; README has the measured share.
+    share no link, are then held against the sets themselves.  What this leaves in unlike components is
+    searched by the sets' rarest shingles, of which similar sets must share one, and held against the sets
+    as well: no link is false, and none is lost.
 
     Null, empty and blank texts have the empty set and are copies of each other; texts of one set,
     whatever their order, are too.  Rows that repeat an id each have their row.  A
@@ -363,11 +586,18 @@ def similar_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one; other columns are not read.  A text's set, 8 bytes a word, is held as a whole.
     """
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows, _ = write_shared(_described(docs, shingle), "described")
-    nodes, _ = write_shared(_in_few_files(rows.groupBy("node").agg(F.min("id").alias("rep"), F.min("fp0").alias("fp0"), F.min("fp1").alias("fp1")), rows), "nodes")
+    rows, _ = write_shared(_described(docs, shingle, similarity), "described")
+    least = [F.min(c).alias(c) for c in ("fp0", "fp1", "n", "handle")]
+    nodes, _ = write_shared(_in_few_files(rows.groupBy("node").agg(F.min("id").alias("rep"), *least), rows), "nodes")
     links = _thinned(links_within(nodes.where("rep IS NOT NULL").select("fp0", "fp1", F.col("node").alias("rep")), radius, ("fp0", "fp1"), forests=FORESTS), FORESTS)
     named = component_labels(_verified(links, nodes, docs, shingle, similarity))
-    classes = nodes.join(named, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
+    classes, _ = write_shared(_in_few_files(nodes.join(named, "node", "left").select("node", "rep", "n", "handle", F.coalesce("component", "node").alias("component")), nodes), "classes")
+    pairs = _missed(rows, classes.where("rep IS NOT NULL"), similarity)
+    missed = _verified(pairs, nodes, docs, shingle, similarity)
+    of = classes.select("node", "component")
+    joined = missed.join(of.toDF("a", "x"), "a").join(of.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    wider = component_labels(_in_few_files(joined, pairs)).toDF("component", "wider")
+    classes = classes.join(wider, "component", "left").select("node", "rep", F.coalesce("wider", "component").alias("component"))
     least = classes.groupBy("component").agg(F.min("rep").alias("component_id"))
     return rows.join(classes.join(least, "component").select("node", "component_id"), "node").select(F.col("id").alias(id_col), "component_id")
 

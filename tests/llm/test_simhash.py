@@ -191,6 +191,75 @@ def test_links_beside_failing_ones(spark):
     assert len(links) > 100 and sum(got[i] == got[j] for i, j in links) >= 0.99 * len(links)
 
 
+def exact(spark, made, **given):
+    want, links = brute_similar(made)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(made, "doc_id long, text string"), **given).collect()}
+    assert got == want
+    return links
+
+
+def test_no_link_of_short_texts_is_missed(spark):
+    """Fingerprints of few shingles differ in many bits, often more than the comparison of fingerprints goes to."""
+    rng, made = np.random.default_rng(2), []
+    for k in range(400):
+        words = " ".join(f"w{x}" for x in rng.integers(0, 1 << 30, 8))
+        made += [(2 * k, words), (2 * k + 1, f"{words} more")]
+    described = [np.array([simhash.majority([s]), simhash.majority([simhash.mix(s)])], np.uint64) for s in (simhash.shingle_set(t.encode(), 5) for _, t in made)]
+    apart = np.array([int(np.bitwise_count(x ^ y).sum()) for x, y in zip(described[::2], described[1::2])])
+    assert (apart > simhash.SIMILAR_RADIUS).any()
+    assert len(exact(spark, made)) == 400
+
+
+@pytest.mark.parametrize("together,postings", [(4096, 1_000_000), (3, 50)])
+def test_links_without_fingerprints(spark, monkeypatch, together, postings):
+    """Families, chains, copies and frequent words: the rarest shingles alone find all that all pairs find, in small shares, too."""
+    for name, value in (("TOGETHER", together), ("POSTINGS", postings), ("MET_ROWS", 40), ("STEP_PAIRS", 7)):
+        monkeypatch.setattr(simhash, name, value)
+    rng, made = np.random.default_rng(7), []
+    often = " ".join(f"common{x}" for x in range(40))
+    for family in range(8):
+        words = [f"f{family}w{x}" for x in rng.integers(0, 500, 20 + 25 * family)]
+        for k in range(12):
+            if family % 2:  # a chain: each text unlike those far along it
+                words = list(words)
+                words[int(rng.integers(0, len(words)))] = f"new{rng.integers(0, 1 << 30)}"
+                made.append((100 * family + k, " ".join(words)))
+            else:
+                changed = [w if rng.random() < 0.97 else f"new{rng.integers(0, 1 << 30)}" for w in words]
+                made.append((100 * family + k, " ".join(changed)))
+        made.append((100 * family + 50, made[-1][1]))
+    made += [(1000 + k, f"{often} own{k} {often if k % 3 else k}") for k in range(30)] + [(2000, None), (2001, ""), (2002, "a"), (2003, "A")]
+    assert len({i for pair in exact(spark, made, radius=0) for i in pair}) > 50
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.integers(0, 30), st.integers(1, 400), st.sampled_from([0.5, 0.8, 0.9, 1.0]), st.integers(0, 9))
+def test_possible_pairs(n, most, similarity, seed):
+    """Sets that share their first rare hash: no similar pair goes, and no pair of one component stays."""
+    rng = np.random.default_rng(seed)
+    hashes = rng.integers(0, 1 << 63, 2 * most, dtype=np.uint64)
+    base = hashes[: rng.integers(1, most + 1)]
+    sets = [np.unique(np.where(rng.random(len(base)) < 0.1 * rng.random(), rng.choice(hashes, len(base)), base)) for _ in range(n)]
+    sets.sort(key=len)
+    frequent = (np.sort(hashes[:5]), np.arange(3, 8))
+    rare = [simhash.rarest(s, frequent, similarity).tolist() for s in sets]
+    component, sketches = rng.integers(0, 6, n), simhash.Sketches([simhash.sketch(s) for s in sets])
+    found = set()
+    for h in {x for r in rare for x in r}:
+        rows = np.array([k for k in range(n) if h in rare[k]])
+        size, place = np.array([len(sets[k]) for k in rows]), np.array([rare[k].index(h) for k in rows])
+        held = simhash.Sketches([simhash.sketch(sets[k]) for k in rows])
+        one = np.zeros(len(rows), np.int64)
+        i, j = simhash.possible_pairs(one, one, one == 0, size, place, component[rows], held, similarity)
+        found |= {tuple(sorted((int(rows[a]), int(rows[b])))) for a, b in zip(i, j)}
+    both = lambda x, y: len(np.intersect1d(x, y))
+    pairs = [(x, y) for x in range(n) for y in range(x + 1, n) if component[x] != component[y]]
+    assert {(x, y) for x, y in pairs if both(sets[x], sets[y]) >= similarity * len(np.union1d(sets[x], sets[y])) - 1e-9} <= found <= set(pairs)
+    if pairs:
+        i, j = np.array(pairs).T
+        assert (sketches.apart(i, j) <= [len(np.setxor1d(sets[x], sets[y])) for x, y in pairs]).all()
+
+
 def test_similar_documents(spark, docs, rows, clashing, empty):
     rng = np.random.default_rng(5)
     made = [tuple(r[:2]) for r in rows]
