@@ -530,7 +530,8 @@ def _missed(rows: DataFrame, classes: DataFrame, similarity: float) -> DataFrame
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumns({"t": F.least("part", "other"), "u": F.greatest("part", "other")})
     met_rows = shared.agg(F.sum(F.col("rows") * F.col("parts"))).first()[0] or 0
     met, met_path = write_shared(_in_few_files(met.drop("other", "parts", "handle"), met_rows), "met")
-    sketches = rows.select("node", "sketch").join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("sketch").alias("sketch"))
+    # Copies of a set are combined where they lie, before any are moved (Spark would push a semi-join below the aggregate).
+    sketches = rows.groupBy("node").agg(F.min("sketch").alias("sketch")).join(met.select("node").distinct(), "node")
     out = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
     schema, key = to_arrow_schema(out), ["hash", "t", "u"]
 
