@@ -64,7 +64,7 @@ def test_rows_of_one_file_are_shared_by_tasks(spark, tmp_path, monkeypatch):
 
 def test_copies_have_more_files_when_tables_grow(spark, monkeypatch):
     monkeypatch.setattr(queries, "_fixtures", {})
-    monkeypatch.setattr(queries.Fixture, "FILE_BYTES", 8 << 10)
+    monkeypatch.setattr(queries.Fixture, "FILE_BYTES", 2 << 10)
     f = queries.fixture(spark, SF)
     for name, least in (("qx_lineitem", 8), ("qx_orders_orc", 6), ("qx_nulls", 4)):
         f.table(name)
