@@ -43,6 +43,25 @@ def test_a_task_gathers_few_rows_of_an_index(spark, tmp_path, monkeypatch, using
     assert engine.sql("SELECT count(*) FROM growing WHERE b = 1").first()[0] == 1500
 
 
+@pytest.mark.parametrize("keys", ["k", "k DESC", "k, a"])
+def test_cut_points_of_a_large_file_are_shared_by_tasks(spark, tmp_path, monkeypatch, keys):
+    monkeypatch.setattr(build, "ROWS_A_FILE", 500)
+    made = spark.range(6000).select(F.col("id").alias("a"), F.when(F.col("id") % 50 > 0, F.floor(F.col("id") * 7919 % 6000 / 3)).alias("k"))
+    made.unionByName(made.where("a < 100").selectExpr("a", "5L AS k")).coalesce(1).write.parquet(str(tmp_path / "t"))
+    engine = Engine(spark, str(tmp_path / "index"))
+    engine.register("growing", str(tmp_path / "t"))
+    engine.sql(f"CREATE OINDEX i ON growing ({keys})")
+    _, roots, _, index = engine._index("growing", "i")
+    counts = [tuple(r) for r in spark.table("growing").where("k IS NOT NULL").groupBy("k").count().orderBy("k").collect()]
+    step = -(-len(counts) // 5)
+    plain = [(k, sum(n for _, n in counts[: i + 1])) for i, (k, _) in enumerate(counts) if i % step == 0 or i == len(counts) - 1]
+    (row,) = engine._manifest(index).values()
+    assert [(c["key"], c["rows"]) for c in row["cuts"]] == plain
+    dealt = statistics.cut_ranges(engine.entries(roots, index), len(index.columns), 5, 24)
+    held = dealt.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()
+    assert max(held) <= 500 < len(counts), held
+
+
 def test_bitmaps_by_words(spark):
     places = spark.range(5000).select(F.concat(F.lit("f"), F.col("id") % 3).alias("file"), (F.pmod(F.xxhash64("id"), F.lit(1 << 17)) + 1).alias("at"))
     places = places.union(spark.createDataFrame([("f0", p) for p in (1, 64, 65, 32768, 32769, 131072)], places.schema))
