@@ -495,17 +495,17 @@ class Engine:
                     held &= {r["file"] for r in f.select("file").distinct().collect()}
                 parts.append(self._plain_read(df, info, [f.path for f in entries_of if files.plain(f.path) in held]))
                 continue
-            wanted = [rows.decode_bitmaps(f, dense=any(c.manifest[files.plain(x.path)]["dense"] for x in entries_of)) if c.index.kind == "BITMAP" else f.select("file", F.explode("row_ids").alias("row")) for c, f in zip(used, found)]
-            both = reduce(lambda a, b: a.join(b, ["file", "row"]), wanted)
+            # A row has one key in each index, so those that all of them name are listed as often.
+            wanted = reduce(DataFrame.unionByName, map(rows.pieces, found))
             held = sum(used[0].manifest[files.plain(f.path)]["rows"] for f in entries_of)
-            parts.append(self.fetch(df, info.partition_columns, set(info.required), both, len(entries_of), held))
+            parts.append(self.fetch(df, info.partition_columns, set(info.required), wanted, len(entries_of), held, len(used)))
         return reduce(DataFrame.unionByName, parts)
 
-    def fetch(self, df: DataFrame, partition_columns: list[str], required: set[str], wanted: DataFrame, n_files: int, held: int) -> DataFrame:
-        """The rows ``wanted(file, row)`` with the schema of ``df``; columns that aren't required are null.
+    def fetch(self, df: DataFrame, partition_columns: list[str], required: set[str], wanted: DataFrame, n_files: int, held: int, need: int = 1) -> DataFrame:
+        """The rows ``wanted`` (as ``read_rows`` takes them) with the schema of ``df``; columns that aren't required are null.
         The ``n_files`` have ``held`` rows, each of which may be wanted: so many tasks share them."""
         data = T.StructType([f for f in df.schema.fields if f.name in required and f.name not in partition_columns])
-        read = rows.read_rows(wanted, data, max(1, min(n_files, 4 * self.spark.sparkContext.defaultParallelism), held // rows.SHARE))
+        read = rows.read_rows(wanted, data, max(1, min(n_files, 4 * self.spark.sparkContext.defaultParallelism), held // rows.SHARE), need)
         columns = []
         for f in df.schema.fields:
             if f.name in partition_columns:
